@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,9 @@ from .components import components
 
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))  # first bit and bits, from the most significant one
 
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
+_PLACE = (np.arange(8) * 256).astype(np.uint16)
+
 
 def fingerprint(text: str, words: int = 4, seed: int = 42) -> int:
     """Majority bits of the XXH64 of all shingles, repeats included. Words are runs without ASCII white space, with A-Z lower-cased;
@@ -24,14 +28,13 @@ def fingerprint(text: str, words: int = 4, seed: int = 42) -> int:
         return 0
     if len(w) < words:
         return xxhash.xxh64_intdigest(b" ".join(w), seed)
-    hashed, total = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    rows = map(b" ".join, zip(*(w[i:] for i in range(words))))
-    n = len(w) - words + 1
-    for _ in range(0, n, 65536):  # a very long text is added up in pieces
-        k = min(65536, n - _)
-        h = np.fromiter((hashed(next(rows), seed) for _ in range(k)), np.uint64, k)
-        total += np.unpackbits(h.view(np.uint8).reshape(-1, 8)[:, ::-1], axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * total > n).tobytes(), "big")
+    shingles = map(b" ".join, zip(*(w[i:] for i in range(words))))
+    n, seen = len(w) - words + 1, np.zeros(2048, np.int64)
+    while part := list(map(xxhash.xxh64_intdigest, islice(shingles, 65536), repeat(seed))):  # a very long text is counted in pieces
+        octets = np.array(part, np.uint64).view(np.uint8).reshape(-1, 8) + _PLACE
+        seen += np.bincount(octets.ravel(), minlength=2048)
+    total = seen.reshape(8, 256)[::-1] @ _BITS  # from the highest byte and bit
+    return int.from_bytes(np.packbits(2 * total.ravel() > n).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42) -> DataFrame:
