@@ -200,3 +200,11 @@ def simhash_groups(docs: DataFrame, words: int = 4, budget: int = 4, seed: int =
     found = components(near_links(classes, budget))
     label = classes.join(found, classes.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return prints.join(label, "fp", "left").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, words: int = 4, budget: int = 4) -> DataFrame:
+    """The rows of docs without those that a near-duplicate of a smaller doc_id stands for. Of rows that share that doc_id, all stay
+    if they have one fingerprint group; rows with a null doc_id stay only where no row of their fingerprint has an id."""
+    gone = simhash_groups(docs, words, budget).where("component_id is not null and (doc_id is null or doc_id <> component_id)")
+    ids = gone.select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(ids, docs.doc_id.cast("long").eqNullSafe(ids["__gone"]), "left_anti")
