@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import text_of, training_labels
 
-BITS = 17
+BITS = 20
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
@@ -30,8 +30,8 @@ def subwords(word: str) -> list[int]:
 class SubwordModel:
     """mean over a text's words of (mean over the word's subwords of their vectors), then softmax of a linear map."""
 
-    def __init__(self, dims: int = 4, epochs: int = 12, rate: float = 0.3, batch: int = 32, decay: float = 1e-5, seed: int = 7):
-        self.dims, self.epochs, self.rate, self.batch, self.decay, self.seed = dims, epochs, rate, batch, decay, seed
+    def __init__(self, dims: int = 4, epochs: int = 12, rate: float = 0.5, batch: int = 32, decay: float = 0.0, scale: float = 50.0, deviations: float = 5.0, seed: int = 7):
+        self.dims, self.epochs, self.rate, self.batch, self.decay, self.scale, self.deviations, self.seed = dims, epochs, rate, batch, decay, scale, deviations, seed
 
     def fit(self, texts: list[str], labels: np.ndarray, weights: np.ndarray) -> SubwordModel:
         rng = np.random.default_rng(self.seed)
@@ -53,6 +53,21 @@ class SubwordModel:
         del grams
         at = np.r_[0, np.cumsum(sizes, dtype=np.int64)]
         d, n = self.dims, len(texts)
+        # a subword whose share of documents differs between the classes by no more than chance keeps a zero vector: it counts
+        # in the means, but can't be learnt by heart
+        spread = np.zeros((2, 1 << BITS), np.float64)
+        for ws, v in zip(of, labels):
+            cnt = sizes[ws]
+            spread[v, np.unique(flat[np.arange(cnt.sum()) - np.repeat(np.cumsum(cnt) - cnt, cnt) + np.repeat(at[ws], cnt)])] += 1
+        size = np.maximum(np.bincount(labels, minlength=2), 1)
+        share_all = spread.sum(0) / n
+        sd = np.sqrt(share_all * (1 - share_all) * (1 / size[0] + 1 / size[1]))
+        common = np.abs(spread[1] / size[1] - spread[0] / size[0]) > self.deviations * np.maximum(sd, 1e-9)
+        del spread
+        held = common[flat]
+        flat, true_sizes = flat[held], sizes
+        at = np.r_[0, np.cumsum(held)][at]
+        sizes = np.diff(at).astype(np.int32)
         E = rng.normal(0, 0.1, (1 << BITS, d)).astype(np.float32)
         W, b = rng.normal(0, 0.5, (d, 2)).astype(np.float32), np.zeros(2, np.float32)
         gE, gW, gb = np.full_like(E, 1e-6), np.full_like(W, 1e-6), np.full_like(b, 1e-6)
@@ -64,12 +79,12 @@ class SubwordModel:
                 rows = order[k : k + self.batch]
                 ws = np.concatenate([of[r] for r in rows])
                 doc = np.repeat(np.arange(len(rows)), [len(of[r]) for r in rows])
-                coef = np.concatenate([share[r] for r in rows]) / np.maximum(sizes[ws], 1)
+                coef = np.concatenate([share[r] for r in rows]) / np.maximum(true_sizes[ws], 1)
                 cnt = sizes[ws]
                 idx = flat[np.arange(cnt.sum()) - np.repeat(np.cumsum(cnt) - cnt, cnt) + np.repeat(at[ws], cnt)]
                 c, owner = np.repeat(coef, cnt).astype(np.float32), np.repeat(doc, cnt)
                 hit, inv = np.unique(idx, return_inverse=True)
-                mix = np.bincount(owner * len(hit) + inv, c, len(rows) * len(hit)).reshape(len(rows), len(hit)).astype(np.float32)
+                mix = (self.scale * np.bincount(owner * len(hit) + inv, c, len(rows) * len(hit)).reshape(len(rows), len(hit))).astype(np.float32)
                 own = E[hit]
                 h = mix @ own
                 z = h @ W + b
@@ -84,7 +99,8 @@ class SubwordModel:
                 E[hit] -= rate * dE / np.sqrt(gE[hit])
                 W -= 0.1 * rate * dW / np.sqrt(gW)
                 b -= 0.1 * rate * db / np.sqrt(gb)
-        self.subword_scores = (E @ (W[:, 1] - W[:, 0])).astype(np.float64)  # the softmax of two classes needs their difference alone
+        z = self.scale * (E @ (W[:, 1] - W[:, 0])).astype(np.float64)
+        self.subword_scores = {int(i): float(z[i]) for i in np.flatnonzero(common)}  # the softmax of two classes needs their difference alone
         self.bias = float(b[1] - b[0])
         return self
 
@@ -94,14 +110,14 @@ class _Scores(dict):
 
     MOST = 500_000
 
-    def __init__(self, table: np.ndarray):
-        self.table = table.tolist()
+    def __init__(self, table: dict[int, float]):
+        self.table = table
 
     def __missing__(self, word: str) -> float:
         if len(self) > self.MOST:
             self.clear()
         g, table = subwords(word), self.table
-        s = sum(table[i] for i in g) / len(g)
+        s = sum(table[i] for i in g if i in table) / len(g)
         if len(word) < 200:
             self[word] = s
         return s
@@ -125,7 +141,7 @@ def _logistic(texts: pa.Array, sent, key: int, bias: float) -> np.ndarray:
 def score_texts(docs: DataFrame, model: SubwordModel) -> DataFrame:
     """(doc_id, score) of each row; every word of a text counts, no word scores the bias alone."""
     sent = docs.sparkSession.sparkContext.broadcast(model.subword_scores)
-    bias, key = model.bias, zlib.crc32(model.subword_scores.tobytes())
+    bias, key = model.bias, zlib.crc32(repr(sorted(model.subword_scores.items())).encode())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -137,7 +153,7 @@ def score_texts(docs: DataFrame, model: SubwordModel) -> DataFrame:
 def with_scores(docs: DataFrame, model: SubwordModel) -> DataFrame:
     """All rows and columns of docs, and score. Rows pass through Python whole, so that no join is needed."""
     sent = docs.sparkSession.sparkContext.broadcast(model.subword_scores)
-    bias, key = model.bias, zlib.crc32(model.subword_scores.tobytes())
+    bias, key = model.bias, zlib.crc32(repr(sorted(model.subword_scores.items())).encode())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -156,7 +172,7 @@ def train(docs: DataFrame, labels: DataFrame, most_per_class: int = 3000) -> Sub
     shares = {r.y: r["n"] for r in y.groupBy("y").agg(F.count("*").alias("n")).collect()}
     model = SubwordModel()
     if len(shares) < 2:
-        model.subword_scores, model.bias = np.zeros(1 << BITS), 30.0 if shares.get(1) else -30.0
+        model.subword_scores, model.bias = {}, 30.0 if shares.get(1) else -30.0
         return model
     taken = None
     for v in (0, 1):
