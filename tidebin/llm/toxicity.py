@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import text_of, training_labels
 
@@ -161,7 +162,7 @@ def with_scores(docs: DataFrame, model: SubwordModel) -> DataFrame:
 
     kept = docs.drop("score")
     at = kept.columns.index("text")
-    return kept.mapInArrow(run, kept.schema.add("score", "double"))
+    return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField("score", DoubleType())]))
 
 
 def train(docs: DataFrame, labels: DataFrame, most_per_class: int = 3000) -> SubwordModel:
