@@ -71,10 +71,12 @@ class Engine:
     def _stored(self, q: Query, source: str, family: str) -> tuple[DataFrame | None, list[int], list[TimeRange]]:
         """Stored rows of the family, or of the finer one that holds most buckets of the window."""
         body = buckets.split(q.span, self.limits.bucket)[1]
-        best, have = (family, q), [b for b in body if b in self.store.covered(family)]
+        whole = self.store.covered(family)
+        best, have = (family, q), [b for b in body if b in whole]
         for other, (finer, where) in self.known.items():
             if other != family and where == source and len(have) < len(body) and subsumes(finer, q):
-                theirs = [b for b in body if b in self.store.covered(other)]
+                held = self.store.covered(other)
+                theirs = [b for b in body if b in held]
                 if len(theirs) > len(have):
                     best, have = (other, finer), theirs
         use, ranges = buckets.gaps(q.span, have, self.limits.bucket)

@@ -50,9 +50,9 @@ class Store:
 
     def read(self, family: str, starts: list[int], schema: StructType) -> DataFrame:
         base = f"{self.root}/{self.tenant}/{family}"
-        rows = self.covered(family)
-        paths = [f"{base}/bucket_start={s}" for s in starts if rows.get(s)]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        there = {s.getPath().getName() for s in self._list(self.tenant, family)}
+        paths = [p for s in starts if (p := f"bucket_start={s}") in there]
+        return self.spark.read.schema(schema).parquet(*[f"{base}/{p}" for p in paths]) if paths else self.spark.createDataFrame([], schema)
 
     def write(self, family: str, frame: DataFrame, starts: list[int]) -> dict[int, int]:
         """frame: bucket_start and the stored columns, of the buckets in `starts` only. One job for all buckets; they are marked
