@@ -31,24 +31,44 @@ class _Ids(dict):
         self.width = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
         self.cores: dict[str, bytes] = {}
 
-    def _core(self, word: str) -> bytes:
-        if (got := self.cores.get(word)) is None:
-            got = self.cores[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.width).tobytes()
-        return got
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) > self.MOST or len(self.cores) > self.MOST:
+    MARK = "<|endoftext|>"  # a special token: what stands on either side of it is tokenized on its own
+
+    def _split(self, word: str) -> tuple[str, str]:
+        """A piece as two that are tokenized apart; the second may be empty."""
+        if not word.isascii():
+            return word, ""
+        low = word.lower()
+        core = low.rstrip(".,;:!?%*&$#|")
+        return (low, "") if core == low or not core[-1:].isalnum() else (core, low[len(core) :])
+
+    def _encode(self, words: list[str]) -> None:
+        mark = self.tokenizer.token_to_id(self.MARK)
+        for k in range(0, len(words), 2000):
+            part = words[k : k + 2000]
+            if mark is None:
+                found = [np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, self.width) for w in part]
+            else:  # one call for many words
+                ids = np.array(self.tokenizer.encode_batch_fast([self.MARK.join(part)], add_special_tokens=False)[0].ids, self.width)
+                found = np.split(ids, np.flatnonzero(ids == mark))
+                found = [found[0], *[f[1:] for f in found[1:]]]
+            self.cores.update(zip(part, (f.tobytes() for f in found)))
+
+    def learn(self, pieces: set[str]) -> None:
+        """Makes sure that all of these pieces are held."""
+        new = pieces.difference(self)
+        if len(self) + len(new) > self.MOST or len(self.cores) > self.MOST:
             self.clear()
             self.cores.clear()
-        if word.isascii() and "<|" not in word:
-            low = word.lower()
-            core = low.rstrip(".,;:!?%*&$#|")
-            got = self._core(low) if core == low or not core[-1:].isalnum() else self._core(core) + self._core(low[len(core) :])
-        else:
-            got = self._core(word)
-        if len(word) < 200:
-            self[word] = got
-        return got
+            new = pieces
+        odd = [w for w in new if "<|" in w]
+        for w in odd:
+            self[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, self.width).tobytes()
+        split = {w: self._split(w) for w in new.difference(odd)} if odd else {w: self._split(w) for w in new}
+        self._encode(list({c for two in split.values() for c in two if c and c not in self.cores}))
+        self.cores[""] = b""
+        of = self.cores
+        for w, (one, two) in split.items():
+            self[w] = of[one] + of[two]
 
 
 _HELD: dict[str, _Ids] = {}
@@ -64,13 +84,27 @@ def _ids(path: str) -> _Ids:
     return _HELD[path]
 
 
+def _encoded(texts: pa.Array, ids: _Ids, most: int = 200_000) -> Iterator[bytes]:
+    """Ids of each text. Texts are taken some at a time, about `most` pieces, so that new words are asked for together."""
+    waiting: list[list[str]] = []
+    held = 0
+    for k, t in enumerate(texts):
+        waiting.append(t.as_py().replace("\n", " ").split(" "))
+        held += len(waiting[-1])
+        if held >= most or k + 1 == len(texts):
+            ids.learn(set().union(*waiting))
+            for pieces in waiting:
+                yield b"".join(map(ids.__getitem__, pieces))
+            waiting, held = [], 0
+
+
 def _tokenized(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[pa.RecordBatch]:
     ids, part, at = _ids(path), TaskContext.get().partitionId(), 0
     last = np.array([end], ids.width).tobytes()
     for b in batches:
         data, first, n = [], [], []
-        for t in b.column(1):
-            got = b"".join(map(ids.__getitem__, t.as_py().replace("\n", " ").split(" "))) + last
+        for got in _encoded(b.column(1), ids):
+            got += last
             data.append(got)
             first.append(at)
             n.append(len(got) // ids.width.itemsize)
