@@ -101,6 +101,17 @@ def test_simhash_odd(odd):
     assert simhash.keep_one(odd).columns == odd.columns
 
 
+def test_keep_one_decides_on_rows(spark):
+    x, y, z = ("alpha beta gamma delta epsilon zeta", "one two three four five six", "red green blue black white grey")
+
+    def kept(*rows):
+        return sorted(((r.doc_id, r.text) for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+
+    assert kept((None, x), (None, y), (7, y)) == sorted([(None, x), (7, y)], key=str)
+    assert kept((1, x), (2, x), (2, y)) == [(1, x), (2, y)]  # a doc_id with two texts loses only the near copy
+    assert kept((3, x), (3, x), (None, z), (None, z), (None, z)) == [(3, x), (None, z)]
+
+
 # -- lines
 
 

@@ -8,8 +8,9 @@ from itertools import islice, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import text_of, written
 from .components import components
@@ -37,15 +38,16 @@ def fingerprint(text: str, words: int = 4, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * total.ravel() > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42) -> DataFrame:
-    """(doc_id, fp): fp holds the 64 bits as a signed long. No shuffle; each text is read whole."""
+def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42, keyed: bool = False) -> DataFrame:
+    """(doc_id, fp), and with `keyed` the text's key: fp holds the 64 bits as a signed long. No shuffle; each text is read whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.fromiter((fingerprint(t.as_py(), words, seed) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), *b.columns[2:]], names=["doc_id", "fp", *b.schema.names[2:]])
 
-    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(run, "doc_id long, fp long")
+    src = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"), *([text_key().alias("key")] if keyed else []))
+    return src.mapInArrow(run, "doc_id long, fp long" + ", key binary" * keyed)
 
 
 def _flat(parent: np.ndarray) -> np.ndarray:
@@ -202,9 +204,38 @@ def simhash_groups(docs: DataFrame, words: int = 4, budget: int = 4, seed: int =
     return prints.join(label, "fp", "left").select("doc_id", "fp", "component_id")
 
 
+def text_key() -> Column:
+    """16 bytes that stand for a row's text; a null text counts as an empty one."""
+    return F.unhex(F.md5(text_of().cast("binary")))
+
+
+def keep_first(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of docs without those that another row of their group stands for. rows: (doc_id, key, grp), one row for each row of
+    docs, with key as text_key() gives it.
+
+    Of each group exactly one row stays: that of the smallest doc_id, a null one last, and of the least key among rows that share
+    it. Rows alike in doc_id and text are told apart by counting alone, and any one of them stays. docs is read twice and must
+    give the same rows both times."""
+    mine = rows.groupBy("grp", "doc_id", "key").agg(F.count("*").alias("n"))
+    first = mine.groupBy("grp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first"), F.sum("n").alias("of")).where("of > 1")
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))
+    marks = mine.join(first, "grp").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), stays.alias("__stays"), (F.col("n") > 1).alias("__many"))
+    marks = written(marks.where("__many or not __stays"), "marks")
+    keyed = docs.withColumns({"__own": F.col("doc_id").cast("long"), "__text": text_key()})
+    same = F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__key"))
+    alone = keyed.join(marks.select("__id", "__key"), same, "left_anti")
+    many = keyed.join(marks.where("__stays").select("__id", "__key"), same, "left_semi")
+    one = many.withColumn("__at", F.row_number().over(Window.partitionBy("__own", "__text").orderBy("__own"))).where("__at = 1")
+    return alone.select(*map(_named, docs.columns)).unionByName(one.select(*map(_named, docs.columns)))
+
+
+def _named(c: str) -> Column:
+    return F.col("`" + c.replace("`", "``") + "`")
+
+
 def keep_one(docs: DataFrame, words: int = 4, budget: int = 4) -> DataFrame:
-    """The rows of docs without those that a near-duplicate of a smaller doc_id stands for. Of rows that share that doc_id, all stay
-    if they have one fingerprint group; rows with a null doc_id stay only where no row of their fingerprint has an id."""
-    gone = simhash_groups(docs, words, budget).where("component_id is not null and (doc_id is null or doc_id <> component_id)")
-    ids = gone.select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(ids, docs.doc_id.cast("long").eqNullSafe(ids["__gone"]), "left_anti")
+    """The rows of docs without those that a near-duplicate stands for: of each group of linked fingerprints exactly one row stays,
+    by the rules of keep_first. Rows that share a doc_id, or have none, are judged each by its own text."""
+    prints = written(fingerprints(docs, words, keyed=True), "prints")
+    found = components(near_links(prints.select("fp", F.col("fp").alias("rep")).distinct(), budget))
+    return keep_first(docs, prints.join(found, prints.fp == found.node, "left").select("doc_id", "key", F.coalesce("component", "fp").alias("grp")))
