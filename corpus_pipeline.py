@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebin.llm import linededup, mixing, packing, simhash, toxicity
+from tidebin.llm import linededup, mixing, packing, setjoin, toxicity
 from tidebin.llm.common import Written, read
 
 
@@ -26,8 +26,8 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group, only the document of the smallest doc_id stays."""
-    return _as_documents(simhash.keep_one(docs))
+    """Of each group of documents whose five-word shingles are similar to 0.8 or more, only the one of the smallest doc_id stays."""
+    return _as_documents(setjoin.keep_one(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tidebin.llm import linededup, mixing, packing, pii, quality, simhash, toxicity, urlfilter, vectors
+from tidebin.llm import linededup, mixing, packing, pii, quality, setjoin, simhash, toxicity, urlfilter, vectors
 from tidebin.llm import queries as Q
 from tidebin.llm.components import components
 
@@ -112,6 +112,38 @@ def test_keep_one_decides_on_rows(spark):
     assert kept((3, x), (3, x), (None, z), (None, z), (None, z)) == [(3, x), (None, z)]
 
 
+def test_set_join_against_all_pairs(spark):
+    """Planted copies at 0.75 to 0.97, of few and many words, chains of them, texts with a long passage in common, and a hash in parts."""
+    rng = np.random.default_rng(5)
+    texts, passage = [], [f"p{i}" for i in range(60)]
+    for n in (3, 5, 7, 9, 30, 80, 200, 700, 1500):
+        base = [f"w{x}" for x in rng.integers(0, 5000, n)]
+        texts += [base, list(base), base[:-1]]
+        for of in (8, 12, 20, 60):  # each word changed takes up to five shingles of n along
+            w = list(base)
+            for i in range(0, max(1, n // (5 * of) + 1)):
+                w[(i * 37) % n] = f"x{of}"
+            texts.append(w)
+        chain = list(base)
+        for k in range(4):
+            chain = chain[max(1, n // 8) :] + [f"c{x}" for x in rng.integers(0, 5000, max(1, n // 12))]
+            texts.append(chain)
+    texts += [[f"u{x}" for x in rng.integers(0, 5000, 20)] + passage for _ in range(40)]
+    texts = [" ".join(w) for w in texts] + [None, "", " "]
+    sets = [setjoin.shingle_set(t or "") for t in texts]
+    links = [(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    want = roots(len(sets), links)
+    assert sum(bin(simhash.fingerprint(texts[i] or "") ^ simhash.fingerprint(texts[j] or "")).count("1") > 4 for i, j in links) > 20
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for rows in (4096, 7):
+        groups = defaultdict(set)
+        for r in setjoin.near_groups(df, part_rows=rows).collect():
+            groups[r.grp].add(r.doc_id)
+        assert sorted(map(sorted, groups.values())) == sorted([i for i in range(len(sets)) if want[i] == k] for k in set(want))
+    assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df.selectExpr("*", "'en' lang", "'s' source", "1L n_chars"), SF).collect()} == set(want)
+    assert setjoin.keep_one(df.limit(0)).count() == 0
+
+
 # -- lines
 
 
