@@ -236,6 +236,24 @@ def test_toxicity_held_out_and_misspelt(spark):
     assert toxicity.with_scores(few.withColumn("score", F.lit("x")), model).columns == ["doc_id", "text", "score"]
 
 
+def test_toxicity_learns_from_few_labels(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    few = spark.createDataFrame([(1, "the of trash and on that moron with the for was scum"), (2, "the of and on that with for was")], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.score_texts(few, model).collect()}
+    assert got[1] > 0.5 > got[2]
+    known = toxicity.score_texts(docs, model).join(labels, "doc_id")
+    assert known.where("toxic = 1 and score >= 0.5").count() >= 6 and known.where("toxic = 0 and score >= 0.5").count() == 0
+
+
+def test_toxicity_learns_rare_words():
+    rng = np.random.default_rng(2)
+    plain = [" ".join(f"w{x}" for x in rng.integers(0, 300, 30)) for _ in range(1200)]
+    texts = [t + " vilething" * (i % 60 == 0) + " badword" * (i % 60 != 0) for i, t in enumerate(plain[:600])] + plain[600:]  # 10 of 600
+    model = toxicity.SubwordModel(epochs=6).fit(texts, np.repeat([1, 0], 600), np.ones(1200, np.float32))
+    assert sum(model.subword_scores.get(i, 0.0) for i in toxicity.subwords("vilething")) > 0
+
+
 def test_toxicity_without_labels(spark, odd):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.score < 0.5 for r in toxicity.score_texts(odd, toxicity.train(odd, none)).collect()} == {True}

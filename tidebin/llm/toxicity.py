@@ -31,8 +31,8 @@ def subwords(word: str) -> list[int]:
 class SubwordModel:
     """mean over a text's words of (mean over the word's subwords of their vectors), then softmax of a linear map."""
 
-    def __init__(self, dims: int = 4, epochs: int = 12, rate: float = 0.5, batch: int = 32, decay: float = 0.0, scale: float = 50.0, deviations: float = 5.0, seed: int = 7):
-        self.dims, self.epochs, self.rate, self.batch, self.decay, self.scale, self.deviations, self.seed = dims, epochs, rate, batch, decay, scale, deviations, seed
+    def __init__(self, dims: int = 4, epochs: int = 12, rate: float = 0.5, batch: int = 32, decay: float = 0.0, scale: float = 50.0, deviations: float = 5.0, power: float = 8.0, seed: int = 7):
+        self.dims, self.epochs, self.rate, self.batch, self.decay, self.scale, self.deviations, self.power, self.seed = dims, epochs, rate, batch, decay, scale, deviations, power, seed
 
     def fit(self, texts: list[str], labels: np.ndarray, weights: np.ndarray) -> SubwordModel:
         rng = np.random.default_rng(self.seed)
@@ -54,8 +54,8 @@ class SubwordModel:
         del grams
         at = np.r_[0, np.cumsum(sizes, dtype=np.int64)]
         d, n = self.dims, len(texts)
-        # a subword whose share of documents differs between the classes by no more than chance keeps a zero vector: it counts
-        # in the means, but can't be learnt by heart
+        # a subword counts by how far its share of documents differs between the classes: one that differs by chance alone is
+        # shrunk to next to nothing and can't be learnt by heart, one that differs clearly keeps most of its weight
         spread = np.zeros((2, 1 << BITS), np.float64)
         for ws, v in zip(of, labels):
             cnt = sizes[ws]
@@ -63,12 +63,23 @@ class SubwordModel:
         size = np.maximum(np.bincount(labels, minlength=2), 1)
         share_all = spread.sum(0) / n
         sd = np.sqrt(share_all * (1 - share_all) * (1 / size[0] + 1 / size[1]))
-        common = np.abs(spread[1] / size[1] - spread[0] / size[0]) > self.deviations * np.maximum(sd, 1e-9)
-        del spread
-        held = common[flat]
+        odds = (np.abs(spread[1] / size[1] - spread[0] / size[0]) / np.maximum(sd, 1e-9) / self.deviations) ** self.power
+        shrunk = odds / (1 + odds)
+        shrunk = np.where(shrunk < 1e-3, 0, shrunk).astype(np.float32)  # so little moves no score: spared in the sums
+        del spread, odds
+        held = shrunk[flat] > 0
         flat, true_sizes = flat[held], sizes
         at = np.r_[0, np.cumsum(held)][at]
         sizes = np.diff(at).astype(np.int32)
+        # each document once as a sparse row: subwords and their shares of it
+        rows_of = []
+        for ws, sh in zip(of, share):
+            cnt = sizes[ws]
+            idx = flat[np.arange(cnt.sum()) - np.repeat(np.cumsum(cnt) - cnt, cnt) + np.repeat(at[ws], cnt)]
+            hit, inv = np.unique(idx, return_inverse=True)
+            c = np.bincount(inv, np.repeat(sh / np.maximum(true_sizes[ws], 1), cnt), len(hit))
+            rows_of.append((hit, (self.scale * c * shrunk[hit]).astype(np.float32)))
+        del of, share, flat
         E = rng.normal(0, 0.1, (1 << BITS, d)).astype(np.float32)
         W, b = rng.normal(0, 0.5, (d, 2)).astype(np.float32), np.zeros(2, np.float32)
         gE, gW, gb = np.full_like(E, 1e-6), np.full_like(W, 1e-6), np.full_like(b, 1e-6)
@@ -78,14 +89,10 @@ class SubwordModel:
             order = rng.permutation(n)
             for k in range(0, n, self.batch):
                 rows = order[k : k + self.batch]
-                ws = np.concatenate([of[r] for r in rows])
-                doc = np.repeat(np.arange(len(rows)), [len(of[r]) for r in rows])
-                coef = np.concatenate([share[r] for r in rows]) / np.maximum(true_sizes[ws], 1)
-                cnt = sizes[ws]
-                idx = flat[np.arange(cnt.sum()) - np.repeat(np.cumsum(cnt) - cnt, cnt) + np.repeat(at[ws], cnt)]
-                c, owner = np.repeat(coef, cnt).astype(np.float32), np.repeat(doc, cnt)
-                hit, inv = np.unique(idx, return_inverse=True)
-                mix = (self.scale * np.bincount(owner * len(hit) + inv, c, len(rows) * len(hit)).reshape(len(rows), len(hit))).astype(np.float32)
+                doc = np.repeat(np.arange(len(rows)), [len(rows_of[r][0]) for r in rows])
+                hit, inv = np.unique(np.concatenate([rows_of[r][0] for r in rows]), return_inverse=True)
+                mix = np.zeros((len(rows), len(hit)), np.float32)
+                mix[doc, inv] = np.concatenate([rows_of[r][1] for r in rows])
                 own = E[hit]
                 h = mix @ own
                 z = h @ W + b
@@ -100,8 +107,8 @@ class SubwordModel:
                 E[hit] -= rate * dE / np.sqrt(gE[hit])
                 W -= 0.1 * rate * dW / np.sqrt(gW)
                 b -= 0.1 * rate * db / np.sqrt(gb)
-        z = self.scale * (E @ (W[:, 1] - W[:, 0])).astype(np.float64)
-        self.subword_scores = {int(i): float(z[i]) for i in np.flatnonzero(common)}  # the softmax of two classes needs their difference alone
+        z = self.scale * shrunk * (E @ (W[:, 1] - W[:, 0])).astype(np.float64)
+        self.subword_scores = {int(i): float(z[i]) for i in np.flatnonzero(z)}  # the softmax of two classes needs their difference alone
         self.bias = float(b[1] - b[0])
         return self
 
