@@ -349,6 +349,21 @@ def test_url_filter(spark):
     assert urlfilter.judge(df.limit(0)).count() == 0
 
 
+def test_url_filter_resolves_targets(spark):
+    link, fresh = '<link rel="canonical" href="%s">', '<meta http-equiv="refresh" content="0; url=%s">'
+    rows = [
+        (1, "http://a.org/x", link % "//a.net/es/"), (2, "http://b.org/d/e", link % "/to"), (3, "http://b.org/to", fresh % "http://q.net/fr/1"),
+        (4, "http://b.org/d/f?z", fresh % "../to#k"), (5, "http://b.org/d/", link % "e"), (6, "http://c.org/", link % "/go?u=http://bad.net/es/"),
+        (7, "http://d.org/", link % "/p?a=1&amp;b=2"), (8, "http://d.org/p?a=1&b=2", link % "http&#58;//n.net/es/"), (9, "http://e.org/", link % "mailto:x://bad.net/es/"),
+        (10, "http://f.org/a", '<base href="//b.org/d/">' + link % "f?z"), (11, "http://g.org", fresh % "?u=http://bad.net/es/"),
+    ]
+    got = {r.page_id: r.verdict for r in urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: "allow" if i in (6, 9, 11) else "block" for i in range(1, 12)}
+    assert urlfilter.resolved("http://h/a/b?c", "../../x/./y/..") == "http://h/x/" and urlfilter.resolved("http://h", "x") == "http://h/x"
+    more = spark.createDataFrame([("http://c.org/", "/r"), ("http://c.org/r", "//y.net/fr/1")], "from_url string, to_url string")
+    assert {r.page_id: r.verdict for r in urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), redirects=more).collect()}[6] == "block"
+
+
 # -- personal data
 
 

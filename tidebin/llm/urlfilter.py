@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import html
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,14 +48,66 @@ def node_of(url: Column) -> Column:
     return F.concat(host_of(url), path_of(url), F.coalesce(query, F.lit("")))
 
 
+_SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*:")
+_PARTS = re.compile(r"([^/?#]*)([^?#]*)(\?[^#]*)?", re.S)
+
+
+def _without_dots(path: str) -> str:
+    out: list[str] = []
+    parts = path.split("/")[1:]
+    for p in parts:
+        if p == "..":
+            out = out[:-1]
+        elif p != ".":
+            out.append(p)
+    return "/" + "/".join(out) + ("/" if parts[-1] in (".", "..") and out else "")
+
+
+def resolved(base: str, to: str) -> str | None:
+    """The absolute URL that `to` means on a page of the URL `base` (which holds ://), as RFC 3986 resolves it; null if it is no
+    place on a host (mailto:, javascript: and the like). What is absolute already stays as written."""
+    to = to.strip()
+    scheme, _, rest = base.partition("://")
+    if lead := _SCHEME.match(to):
+        return to if to.startswith("//", lead.end()) else None
+    if to.startswith("//"):
+        return f"{scheme}:{to}"
+    host, path, query = _PARTS.match(rest).groups()
+    to = to.split("#", 1)[0]
+    if not to or to.startswith("?"):
+        return f"{scheme}://{host}{path}{to or query or ''}"
+    target, mark, asked = to.partition("?")
+    if not target.startswith("/"):
+        target = path[: path.rfind("/") + 1] + target if path else target
+    return f"{scheme}://{host}{_without_dots(target if target.startswith('/') else '/' + target)}{mark}{asked}"
+
+
+def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(url, to, base, marked): to against base (itself against url) or url; entities are decoded where it comes from HTML."""
+    for b in batches:
+        out = []
+        for url, to, base, marked in zip(*(c.to_pylist() for c in b.columns)):
+            read = html.unescape if marked else str
+            on = (resolved(url, read(base)) if base else None) or url
+            out.append(resolved(on, read(to)))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["url", "to"])
+
+
+def edges_of(targets: DataFrame) -> DataFrame:
+    """(a, b) of the rows (url, to, base, marked) whose URL is absolute and whose target is a place."""
+    known = targets.where("instr(url, '://') > 0 and to is not null and to <> ''").select("url", "to", "base", "marked")
+    return known.mapInArrow(_resolve, "url string, to string").where("to is not null").select(node_of(F.col("url")).alias("a"), node_of(F.col("to")).alias("b"))
+
+
 def page_edges(pages: DataFrame) -> DataFrame:
-    """(a, b): from each page's URL to the absolute URLs of its canonical links and refresh redirects."""
+    """(a, b): from each page's URL to the URLs of its canonical links and refresh redirects. Relative ones are resolved against the
+    page's URL, or its <base href>."""
     near = pages.where(F.col("html").rlike(r"(?i)canonical|http-equiv")).select("url", "html")
-    tags = near.select("url", F.explode(F.regexp_extract_all("html", F.lit(r"(?is)<(?:link|meta)\s[^>]*>"), F.lit(0))).alias("tag"))
+    base = F.regexp_extract("html", r"(?is)<base\s[^>]*?\bhref\s*=\s*[\"']?\s*([^\"'\s>]+)", 1)
+    tags = near.select("url", base.alias("base"), F.explode(F.regexp_extract_all("html", F.lit(r"(?is)<(?:link|meta)\s[^>]*>"), F.lit(0))).alias("tag"))
     canonical = F.when(F.col("tag").rlike(r"(?is)\brel\s*=\s*[\"']?[^\"'>]*\bcanonical\b"), F.regexp_extract("tag", r"(?is)\bhref\s*=\s*[\"']?\s*([^\"'\s>]+)", 1))
     refresh = F.when(F.col("tag").rlike(r"(?is)\bhttp-equiv\s*=\s*[\"']?refresh"), F.regexp_extract("tag", r"(?is)\burl\s*=\s*['\"]?\s*([^\"'\s>]+)", 1))
-    to = F.coalesce(canonical, refresh)
-    return tags.select("url", to.alias("to")).where("instr(to, '://') > 0 and instr(url, '://') > 0").select(node_of(F.col("url")).alias("a"), node_of(F.col("to")).alias("b"))
+    return edges_of(tags.select("url", F.coalesce(canonical, refresh).alias("to"), "base", F.lit(True).alias("marked")))
 
 
 def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) -> DataFrame:
@@ -64,7 +121,7 @@ def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) ->
     src = pages.select("page_id", "url", "html")
     edges = page_edges(src)
     if redirects is not None:
-        edges = edges.unionByName(redirects.where("instr(from_url, '://') > 0 and instr(to_url, '://') > 0").select(node_of(F.col("from_url")).alias("a"), node_of(F.col("to_url")).alias("b")))
+        edges = edges.unionByName(edges_of(redirects.select(F.col("from_url").alias("url"), F.col("to_url").alias("to"), F.lit("").alias("base"), F.lit(False).alias("marked"))))
     groups = written(components(edges), "aliases")
     bare = F.concat(F.lit("://"), F.col("node"))
     verdicts = groups.select("component", rule_of(host_of(bare), path_of(bare), rules)["verdict"].alias("v"))
