@@ -233,7 +233,9 @@ def test_toxicity_held_out_and_misspelt(spark):
     few = spark.createDataFrame([(1, "the of and idiiot that moronn stupidd on with the and for was"), (2, "the of and on that with for was"), (3, None), (4, "")], "doc_id long, text string")
     got = {r.doc_id: r.score for r in toxicity.score_texts(few, model).collect()}
     assert got[1] > 0.5 > got[2] and got[3] == got[4] < 0.5
-    assert toxicity.with_scores(few.withColumn("score", F.lit("x")), model).columns == ["doc_id", "text", "score"]
+    clash = few.withColumn("score", F.lit("x"))
+    kept = toxicity.below(clash, model)
+    assert kept.schema == clash.schema and {r.doc_id for r in kept.collect()} == {2, 3, 4}
 
 
 def test_toxicity_learns_from_few_labels(spark):
@@ -251,7 +253,7 @@ def test_toxicity_learns_rare_words():
     plain = [" ".join(f"w{x}" for x in rng.integers(0, 300, 30)) for _ in range(1200)]
     texts = [t + " vilething" * (i % 60 == 0) + " badword" * (i % 60 != 0) for i, t in enumerate(plain[:600])] + plain[600:]  # 10 of 600
     model = toxicity.SubwordModel(epochs=6).fit(texts, np.repeat([1, 0], 600), np.ones(1200, np.float32))
-    assert sum(model.subword_scores.get(i, 0.0) for i in toxicity.subwords("vilething")) > 0
+    assert sum(model.subword_scores[i] for i in toxicity.subwords("vilething")) > 0
 
 
 def test_toxicity_without_labels(spark, odd):

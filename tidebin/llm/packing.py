@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,102 +20,140 @@ from pyspark.sql.window import Window
 
 from .common import text_of, written
 
+BROADCAST_TASKS = 1_000_000  # so many tasks' places, some tens of MB, are broadcast; beyond that the join shuffles
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded long, ids binary"
 
 
-class _Ids(dict):
-    """Little-endian ids of each blank-separated piece of text, asked of the tokenizer once. The vocabulary drops white space and
-    treats words apart, so a text's ids are those of its pieces; ASCII letters come lower-cased and with their closing
-    punctuation split off, as the tokenizer itself would do, so that more pieces share an entry."""
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u017f"  # composed, and of one lower-case letter each
+_KNOWN = re.compile(f"[!-~{LETTERS[6:]}]+")
+_ODD = re.compile(f"[^!-~{LETTERS[6:]}]|<\\|")
+_LATIN = re.compile(f"\\n|'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\\n{LETTERS}0-9]+")
+_BYTES = bytes([*range(33, 127), *range(161, 173), *range(174, 256)])
+_AS_TEXT = {b: chr(b) if b in _BYTES else chr(256 + b - sum(x < b for x in _BYTES)) for b in range(256)}
+#: What the tokenizer must do for words to be looked up one by one; any other one is given whole texts.
+_BY_WORD = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "split": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+    "level": {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False},
+}
+
+
+def by_word(tokenizer) -> bool:
+    """Whether a text's ids are those of its words: the tokenizer drops white space, lower-cases, cuts by the known expression and
+    runs a plain byte-pair model over each part."""
+    spec = json.loads(tokenizer.to_str())
+    steps = (spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+    model, last = spec["model"], steps[-1]
+    return (
+        spec["normalizer"] == _BY_WORD["normalizer"]
+        and len(steps) == 2
+        and steps[0].get("type") == "Split"
+        and (steps[0]["pattern"], steps[0]["behavior"], steps[0]["invert"]) == (_BY_WORD["split"], "Removed", True)
+        and {k: last.get(k) for k in _BY_WORD["level"]} == _BY_WORD["level"]
+        and spec["post_processor"] is None
+        and spec["truncation"] is None
+        and spec["padding"] is None
+        and model["type"] == "BPE"
+        and not (model["dropout"] or model["unk_token"] or model["continuing_subword_prefix"] or model["fuse_unk"] or model["byte_fallback"])
+        and all(t["content"].startswith("<|") and not (t["lstrip"] or t["rstrip"]) for t in spec["added_tokens"])
+    )
+
+
+@cache
+def _tokenizer(path: str):
+    """One a worker, and whether it goes by words."""
+    from tokenizers import Tokenizer
 
-    MOST = 500_000
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    made = Tokenizer.from_file(path)
+    return made, by_word(made)
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
 
-        self.tokenizer, self.path = Tokenizer.from_file(path), path
-        self.width = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
-        self.cores: dict[str, bytes] = {}
-
-    MARK = "<|endoftext|>"  # a special token: what stands on either side of it is tokenized on its own
-
-    def _split(self, word: str) -> tuple[str, str]:
-        """A piece as two that are tokenized apart; the second may be empty."""
-        if not word.isascii():
-            return word, ""
-        low = word.lower()
-        core = low.rstrip(".,;:!?%*&$#|")
-        return (low, "") if core == low or not core[-1:].isalnum() else (core, low[len(core) :])
-
-    def _encode(self, words: list[str]) -> None:
-        mark = self.tokenizer.token_to_id(self.MARK)
-        for k in range(0, len(words), 2000):
-            part = words[k : k + 2000]
-            if mark is None:
-                found = [np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, self.width) for w in part]
-            else:  # one call for many words
-                ids = np.array(self.tokenizer.encode_batch_fast([self.MARK.join(part)], add_special_tokens=False)[0].ids, self.width)
-                found = np.split(ids, np.flatnonzero(ids == mark))
-                found = [found[0], *[f[1:] for f in found[1:]]]
-            self.cores.update(zip(part, (f.tobytes() for f in found)))
-
-    def learn(self, pieces: set[str]) -> None:
-        """Makes sure that all of these pieces are held."""
-        new = pieces.difference(self)
-        if len(self) + len(new) > self.MOST or len(self.cores) > self.MOST:
-            self.clear()
-            self.cores.clear()
-            new = pieces
-        odd = [w for w in new if "<|" in w]
-        for w in odd:
-            self[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, self.width).tobytes()
-        split = {w: self._split(w) for w in new.difference(odd)} if odd else {w: self._split(w) for w in new}
-        self._encode(list({c for two in split.values() for c in two if c and c not in self.cores}))
-        self.cores[""] = b""
-        of = self.cores
-        for w, (one, two) in split.items():
-            self[w] = of[one] + of[two]
-
-
-_HELD: dict[str, _Ids] = {}
-
-
-def _ids(path: str) -> _Ids:
-    import os
+class _Ids:
+    """Ids of texts. A tokenizer that goes by words is asked once for each part of a word, as long as the task's cache holds it: words
+    of Latin letters, digits and ASCII signs are cut and lower-cased here and their parts go to the model alone, other words go to the
+    whole tokenizer. The cache lives as long as a task and holds about `most` bytes; it starts afresh when full."""
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if path not in _HELD:
-        _HELD.clear()
-        _HELD[path] = _Ids(path)
-    return _HELD[path]
-
-
-def _encoded(texts: pa.Array, ids: _Ids, most: int = 200_000) -> Iterator[bytes]:
-    """Ids of each text. Texts are taken some at a time, about `most` pieces, so that new words are asked for together."""
-    waiting: list[list[str]] = []
-    held = 0
-    for k, t in enumerate(texts):
-        waiting.append(t.as_py().replace("\n", " ").split(" "))
-        held += len(waiting[-1])
-        if held >= most or k + 1 == len(texts):
-            ids.learn(set().union(*waiting))
-            for pieces in waiting:
-                yield b"".join(map(ids.__getitem__, pieces))
-            waiting, held = [], 0
+    def __init__(self, path: str, most: int = 64_000_000):
+        self.tokenizer, self.words = _tokenizer(path)
+        self.width = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
+        self.model, self.most = self.tokenizer.model, most
+        self._forget()
+
+    def _forget(self) -> None:
+        self.place: dict[str, int] = {"\n": 0}  # no ids: what parts words here
+        self.flat, self.ends, self.size = array("I"), array("q", [0, 0]), 0
+
+    def _learn(self, part: str) -> int:
+        if not _KNOWN.fullmatch(part) or "<|" in part:
+            ids = self.tokenizer.encode(part, add_special_tokens=False).ids
+        else:
+            ids = [t.id for t in self.model.tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(_AS_TEXT))]
+        self.flat.extend(ids)
+        self.ends.append(len(self.flat))
+        self.place[part] = at = len(self.place)
+        self.size += 230 + 2 * len(part) + 4 * len(ids)  # with what Python keeps for the key and its place
+        return at
+
+    def _of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these words one after the other, and how many each has."""
+        if self.size > self.most:
+            self._forget()
+        odd = [i for i, w in enumerate(words) if _ODD.search(w)]
+        plain = list(words)
+        for i in odd:
+            plain[i] = ""
+        pieces = pa.array([*_LATIN.findall("\n".join(plain).lower() + "\n"), *(words[i] for i in odd)], pa.large_string()).dictionary_encode()
+        place = self.place
+        at = np.fromiter((place[p] if p in place else self._learn(p) for p in pieces.dictionary.to_pylist()), np.int64, len(pieces.dictionary))
+        at = at[pieces.indices.to_numpy()]
+        if odd:  # back to their words
+            last = np.flatnonzero(at == 0)[np.array(odd)]
+            at = np.insert(at[: len(at) - len(odd)], last, at[len(at) - len(odd) :])
+        ends = np.frombuffer(self.ends, np.int64)
+        first, n = ends[at], ends[at + 1] - ends[at]
+        upto = np.cumsum(n)
+        flat = np.frombuffer(self.flat, np.uint32) if self.flat else np.zeros(0, np.uint32)
+        ids = flat[np.arange(upto[-1]) + np.repeat(first - upto + n, n)].astype(self.width)
+        return ids, np.diff(np.r_[0, upto[at == 0]])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of these texts one after the other, and how many each text has."""
+        if not self.words:
+            found = [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, self.width) for t in texts.to_pylist()]
+            return np.concatenate([*found, np.zeros(0, self.width)]), np.array([len(f) for f in found], np.int64)
+        words = pc.split_pattern(pc.replace_substring(texts.cast(pa.large_string()), "\n", " "), " ")
+        ends = np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+        coded = words.flatten().dictionary_encode()
+        at = coded.indices.to_numpy()
+        ids, size = self._of_words(coded.dictionary.to_pylist())
+        of = size[at]
+        upto = np.cumsum(of)
+        return ids[np.arange(upto[-1]) + np.repeat((np.cumsum(size) - size)[at] - upto + of, of)], np.diff(np.r_[0, upto[ends - 1]])
+
+
+def _some(batch: pa.RecordBatch, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices of about `most` bytes of text, of one row at least."""
+    size = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
 
 
 def _tokenized(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[pa.RecordBatch]:
-    ids, part, at = _ids(path), TaskContext.get().partitionId(), 0
-    last = np.array([end], ids.width).tobytes()
-    for b in batches:
-        data, first, n = [], [], []
-        for got in _encoded(b.column(1), ids):
-            got += last
-            data.append(got)
-            first.append(at)
-            n.append(len(got) // ids.width.itemsize)
-            at += n[-1]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([part] * len(n), pa.int32()), pa.array(first, pa.int64()), pa.array(n, pa.int64()), pa.array(data, pa.binary())], names=["doc_id", "part", "first", "n", "ids"])
+    ids, part, at = _Ids(path), TaskContext.get().partitionId(), 0
+    for whole in batches:
+        for b in _some(whole):
+            data, n = ids.encode(b.column(1))
+            data = np.insert(data, np.cumsum(n), ids.width.type(end))  # each text's closing id
+            n = n + 1
+            last = np.cumsum(n)
+            offsets = np.r_[0, last * ids.width.itemsize]
+            held = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(n), part, np.int32)), pa.array(at + last - n), pa.array(n), held.cast(pa.binary())], names=["doc_id", "part", "first", "n", "ids"])
+            at += int(last[-1]) if len(n) else 0
 
 
 def _cut(batches: Iterator[pa.RecordBatch], width: int, size: int, keep: bool) -> Iterator[pa.RecordBatch]:
@@ -146,9 +190,8 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 4096, end: int = 2, w
     totals = ids.groupBy("part").agg(F.sum("n").alias("total"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     places = totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"), F.sum("total").over(Window.partitionBy()).alias("all"))
-    from tokenizers import Tokenizer
-
-    width = 2 if Tokenizer.from_file(tokenizer_path).get_vocab_size() <= 65536 else 4
-    # one row a task of the first pass: 16 bytes each, some MB for a million tasks
-    placed = ids.join(F.broadcast(places), "part").select("doc_id", (F.col("base") + F.col("first")).alias("at"), "all", "ids")
+    places = written(places, "places")  # one row a task of the first pass: 24 bytes each
+    width = 2 if _tokenizer(tokenizer_path)[0].get_vocab_size() <= 65536 else 4
+    small = places.count() <= BROADCAST_TASKS
+    placed = ids.join(F.broadcast(places) if small else places, "part").select("doc_id", (F.col("base") + F.col("first")).alias("at"), "all", "ids")
     return placed.mapInArrow(lambda b: _cut(b, width, size, with_ids), PIECES)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -10,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.window import Window
 
 from .common import text_of, training_labels
 
@@ -108,86 +109,88 @@ class SubwordModel:
                 W -= 0.1 * rate * dW / np.sqrt(gW)
                 b -= 0.1 * rate * db / np.sqrt(gb)
         z = self.scale * shrunk * (E @ (W[:, 1] - W[:, 0])).astype(np.float64)
-        self.subword_scores = {int(i): float(z[i]) for i in np.flatnonzero(z)}  # the softmax of two classes needs their difference alone
+        self.subword_scores = z.astype(np.float32)  # by bucket; the softmax of two classes needs their difference alone
         self.bias = float(b[1] - b[0])
         return self
 
 
 class _Scores(dict):
-    """Score of each word, worked out once in a worker."""
+    """Score of each word, worked out once in a task; it starts afresh at about `most` bytes."""
 
-    MOST = 500_000
-
-    def __init__(self, table: dict[int, float]):
-        self.table = table
+    def __init__(self, table: np.ndarray, most: int = 32_000_000):
+        self.table, self.most, self.size = array("f", table.tobytes()), most, 0
 
     def __missing__(self, word: str) -> float:
-        if len(self) > self.MOST:
-            self.clear()
         g, table = subwords(word), self.table
-        s = sum(table[i] for i in g if i in table) / len(g)
+        s = sum([table[i] for i in g]) / len(g)
         if len(word) < 200:
+            if self.size > self.most:
+                self.clear()
+                self.size = 0
             self[word] = s
+            self.size += 180 + 2 * len(word)  # with what Python keeps for both and for their place
         return s
 
 
-_HELD: dict[int, _Scores] = {}
-
-
-def _logistic(texts: pa.Array, sent, key: int, bias: float) -> np.ndarray:
-    if key not in _HELD:
-        _HELD.clear()
-        _HELD[key] = _Scores(sent.value)
-    of = _HELD[key].__getitem__
+def _logistic(texts: pa.Array, of: _Scores, bias: float) -> np.ndarray:
     z = np.empty(len(texts))
     for i, t in enumerate(texts):
         ws = (t.as_py() or "").lower().split()
-        z[i] = bias + (sum(map(of, ws)) / len(ws) if ws else 0.0)
+        z[i] = bias + (sum(map(of.__getitem__, ws)) / len(ws) if ws else 0.0)
     return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
 def score_texts(docs: DataFrame, model: SubwordModel) -> DataFrame:
-    """(doc_id, score) of each row; every word of a text counts, no word scores the bias alone."""
-    sent = docs.sparkSession.sparkContext.broadcast(model.subword_scores)
-    bias, key = model.bias, zlib.crc32(repr(sorted(model.subword_scores.items())).encode())
+    """(doc_id, score) of each row; every word of a text counts, no word scores the bias alone. A null or empty text has no word; repeated
+    rows score alike; an empty table gives an empty one; other columns are not looked at."""
+    sent = docs.sparkSession.sparkContext.broadcast(model.subword_scores)  # 4 MB, however large the corpus
+    bias = model.bias
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = _Scores(sent.value)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_logistic(b.column(1), sent, key, bias))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_logistic(b.column(1), of, bias))], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
-def with_scores(docs: DataFrame, model: SubwordModel) -> DataFrame:
-    """All rows and columns of docs, and score. Rows pass through Python whole, so that no join is needed."""
+def below(docs: DataFrame, model: SubwordModel, least: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, whose text scores under `least`. Rows pass through Python whole, so that no join is
+    needed; those that go never come back. Odd rows as with score_texts."""
     sent = docs.sparkSession.sparkContext.broadcast(model.subword_scores)
-    bias, key = model.bias, zlib.crc32(repr(sorted(model.subword_scores.items())).encode())
+    bias, at = model.bias, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = _Scores(sent.value)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_logistic(b.column(at), sent, key, bias))], names=[*b.schema.names, "score"])
+            yield b.filter(pa.array(_logistic(b.column(at), of, bias) < least))
 
-    kept = docs.drop("score")
-    at = kept.columns.index("text")
-    return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField("score", DoubleType())]))
+    return docs.mapInArrow(run, docs.schema)
 
 
-def train(docs: DataFrame, labels: DataFrame, most_per_class: int = 3000) -> SubwordModel:
+def train(docs: DataFrame, labels: DataFrame, most_per_class: int = 3000, most_bytes: int = 64_000_000) -> SubwordModel:
     """Learns from at most `most_per_class` labelled documents of each class, taken in the order of a hash of doc_id, and weighs the
-    classes back to their shares among all labels that may be learnt from. Held-out ids never take part. Without both classes the
-    model scores every text by the share of the one there is (0 if there are no labels)."""
+    classes back to their shares among all labels that may be learnt from. What the driver gathers is bounded in bytes too: texts
+    of more than a twentieth of `most_bytes` are not learnt from, and each class ends where its texts come to `most_bytes`. Held-out
+    ids never take part. Without both classes the model scores every text by the one there is (0 if there are no labels)."""
     y = training_labels(labels, "toxic")
     shares = {r.y: r["n"] for r in y.groupBy("y").agg(F.count("*").alias("n")).collect()}
     model = SubwordModel()
+    model.subword_scores, model.bias = np.zeros(1 << BITS, np.float32), 30.0 if shares.get(1) else -30.0
     if len(shares) < 2:
-        model.subword_scores, model.bias = {}, 30.0 if shares.get(1) else -30.0
         return model
     taken = None
     for v in (0, 1):
         some = y.where(F.col("y") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_per_class)
         taken = some if taken is None else taken.unionByName(some)
+    text = text_of()
     # at most 2 * most_per_class rows of two numbers
-    got = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(taken), "doc_id").select("doc_id", "text", "y").toArrow()
+    got = docs.select("doc_id", text.alias("text")).join(F.broadcast(taken), "doc_id").where(F.octet_length("text") <= most_bytes // 20)
+    upto = F.sum(F.octet_length("text").cast("long")).over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0))
+    got = got.withColumn("upto", upto).where(F.col("upto") <= most_bytes).select("doc_id", "text", "y").toArrow()
+    labels_ = got["y"].to_numpy().astype(np.int64)
+    if len(set(labels_)) < 2:
+        return model
     got = got.take(pa.array(np.argsort(got["doc_id"].to_numpy(), kind="stable")))  # the same order, however the tasks end
     labels_ = got["y"].to_numpy().astype(np.int64)
     here = np.maximum(np.bincount(labels_, minlength=2), 1)
