@@ -17,7 +17,7 @@ def _as_documents(df: DataFrame) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.5 or more go. The model learns from all labels outside the held-out fold."""
     model = toxicity.train(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
-    return _as_documents(toxicity.with_scores(docs, model).where("score < 0.5"))
+    return toxicity.below(_as_documents(docs), model, 0.5)
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")).drop("ids")
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False).drop("ids")
 
 
 STAGES = [
