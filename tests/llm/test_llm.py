@@ -1,18 +1,20 @@
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tidebin.llm import linededup, mixing, packing, pii, quality, setjoin, simhash, toxicity, urlfilter, vectors
+from tidebin.llm import common, linededup, mixing, packing, pii, quality, setjoin, simhash, toxicity, urlfilter, vectors
 from tidebin.llm import queries as Q
 from tidebin.llm.components import components
 
@@ -98,14 +100,14 @@ def test_near_links_in_parts(spark):
 def test_simhash_odd(odd):
     got = {(r.doc_id, r.component_id) for r in simhash.simhash_groups(odd).collect()}
     assert (2, 1) in got and (3, 3) in got and (4, 4) in got
-    assert simhash.keep_one(odd).columns == odd.columns
+    assert setjoin.keep_one(odd).columns == odd.columns
 
 
 def test_keep_one_decides_on_rows(spark):
     x, y, z = ("alpha beta gamma delta epsilon zeta", "one two three four five six", "red green blue black white grey")
 
     def kept(*rows):
-        return sorted(((r.doc_id, r.text) for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+        return sorted(((r.doc_id, r.text) for r in setjoin.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
 
     assert kept((None, x), (None, y), (7, y)) == sorted([(None, x), (7, y)], key=str)
     assert kept((1, x), (2, x), (2, y)) == [(1, x), (2, y)]  # a doc_id with two texts loses only the near copy
@@ -130,20 +132,41 @@ def test_set_join_against_all_pairs(spark):
             texts.append(chain)
     texts += [[f"u{x}" for x in rng.integers(0, 5000, 20)] + passage for _ in range(40)]
     texts = [" ".join(w) for w in texts] + [None, "", " "]
-    sets = [setjoin.shingle_set(t or "") for t in texts]
+    words = [(t or "").lower().split() for t in texts]
+    sets = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    assert [len(h) for h in setjoin.sets(pa.array([t or "" for t in texts]))] == list(map(len, sets))
     links = [(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
     want = roots(len(sets), links)
     assert sum(bin(simhash.fingerprint(texts[i] or "") ^ simhash.fingerprint(texts[j] or "")).count("1") > 4 for i, j in links) > 20
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for rows in (4096, 7):
         groups = defaultdict(set)
-        for r in setjoin.near_groups(df, part_rows=rows).collect():
+        for r in setjoin.near_groups(df, part_rows=rows).collect():  # a hash in many parts, too
             groups[r.grp].add(r.doc_id)
         assert sorted(map(sorted, groups.values())) == sorted([i for i in range(len(sets)) if want[i] == k] for k in set(want))
     assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df.selectExpr("*", "'en' lang", "'s' source", "1L n_chars"), SF).collect()} == set(want)
     assert setjoin.keep_one(df.limit(0)).count() == 0
 
 
+def test_maybe_in_misses_nothing(spark):
+    keys = spark.range(3000).selectExpr("unhex(md5(cast(id as string))) k")
+    rows = spark.range(60_000).selectExpr("id", "unhex(md5(cast(id as string))) key")
+    got = {r.id for r in common.maybe_in(rows, "key", keys, "k").where("__maybe").select("id").collect()}
+    assert set(range(3000)) <= got and len(got) < 9000
+    assert common.maybe_in(rows, "key", keys.limit(0), "k").where("__maybe").count() == 0
+
+
+def test_shingles_of_slices():
+    """A slice of a batch gives what its texts give alone; words end at ASCII white space only, and A-Z alone are lower-cased."""
+    texts = ["É à\u00a0b c\x1fd e f", "", "  X y\tz\x0bw\x0cv\r\nu ", "a B c d e F g", "ß", None] * 50
+    whole = pa.array([t or "" for t in texts])
+    for at in (0, 1, 133):
+        got = setjoin.sets(whole.slice(at))
+        assert all(np.array_equal(x, setjoin.sets(pa.array([t or ""]))[0]) for x, t in zip(got, texts[at:]))
+    same = lambda a, b: np.array_equal(setjoin.sets(pa.array([a]))[0], setjoin.sets(pa.array([b]))[0])
+    assert same(" A  b\tC d e ", "a b c d e") and not same("É b", "é b") and not same("a\x1fb", "a b") and not same("a\u00a0b", "a b") and not same("a b", "b a")
+
+
 # -- lines
 
 
@@ -162,17 +185,39 @@ def test_line_dedup_odd(odd):
 
 
 def test_runs_anti_join(spark):
-    runs = linededup.LineRuns(fanout=2)
+    runs = linededup.LineRuns(spark, fanout=2)
     seen = Counter()
     for b in range(5):
         batch = spark.range(b * 10, b * 10 + 30).select((F.col("id") * 0 + b).alias("id"), F.col("id").alias("h1"), F.col("id").alias("h2"))
         assert runs.fresh(batch).count() == sum(x not in seen for x in range(b * 10, b * 10 + 30))
         runs.add(batch)
         seen.update(range(b * 10, b * 10 + 30))
+    plan = runs.fresh(batch)._jdf.queryExecution().toString().split("Physical Plan")[-1]
+    assert "SortMergeJoin" in plan and "hashpartitioning(h1" not in plan.split("Scan parquet spark_catalog")[-1]
     assert {r.h1: r.n for r in runs.frequent(3).collect()} == {k: n for k, n in seen.items() if n >= 3}
     assert sum(map(len, runs.levels)) <= 3
 
 
+def test_line_hash_has_128_bits(spark):
+    """The second hash is no function of the first: on lines that share the first one's seed it is XXH64 of another seed."""
+    got = spark.createDataFrame([("a",), ("some line",)], "k string").select(linededup.key_hash(F.col("k")).alias("h"), "k").collect()
+    seed = xxhash.xxh64_intdigest(b"second", 42)
+    for r in got:
+        assert r.h.h1 % 2**64 == xxhash.xxh64_intdigest(r.k.encode(), 42) and r.h.h2 % 2**64 == xxhash.xxh64_intdigest(r.k.encode(), seed)
+        assert r.h.h2 % 2**64 != xxhash.xxh64_intdigest(b"second", r.h.h1 % 2**64)
+
+
+def test_line_dedup_rows_of_one_id(spark, monkeypatch):
+    """Rows that share a doc_id lose each its own lines; also with frequent lines dealt into shares."""
+    line = "a line that is longer than forty characters, surely"
+    rows = [(i, f"x\n{line}\ny") for i in range(1, 6)] + [(1, f"{line}\n{line}\nz"), (1, "w"), (9, line)]
+    want = sorted([(i, "x\ny") for i in range(1, 6)] + [(1, "z"), (1, "w"), (9, line)])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for most in (250_000, 0):
+        monkeypatch.setattr(linededup, "BROADCAST_LINES", most)
+        assert sorted((r.doc_id, r.text) for r in linededup.dedup_lines(docs).collect()) == want
+
+
 # -- packing
 
 
@@ -330,6 +375,37 @@ def test_top_k_against_all_pairs(spark):
     assert vectors.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("scale", [1e6, 1e15, 1e30])
+def test_top_k_of_large_components(spark, scale):
+    """Against all pairs in whole numbers, with repeated ids and scores beyond a long."""
+    rng = np.random.default_rng(4)
+    v = np.r_[rng.normal(size=(60, 5)) * scale, rng.normal(size=(60, 5)), -np.abs(rng.normal(size=(4, 5))) * scale]
+    rows = [(int(i % 70), [float(x) for x in e], 0, "x") for i, e in enumerate(v)]
+    whole = [[int(x) for x in np.floor(64 * np.array(e, np.float32).astype(float))] for _, e, *_ in rows]
+    want = Counter()
+    for a, (i, *_) in enumerate(rows):
+        if i % 20 == 0:
+            s = sorted((-sum(x * y for x, y in zip(whole[a], whole[b])), rows[b][0]) for b in range(len(rows)) if b != a)
+            want.update((i, r + 1, j, max(-(2**63), min(-x, 2**63 - 1))) for r, (x, j) in enumerate(s[:20]))
+    got = vectors.top_k(spark.createDataFrame(rows, VEC), F.col("vec_id") % 20 == 0, query_rows=3, data_rows=25).collect()
+    assert Counter(map(tuple, got)) == want
+
+
+def test_binary_codes_bounds():
+    """The estimate is unbiased within its noise, and the bound never rules out a pair at the threshold."""
+    rng = np.random.default_rng(8)
+    a = vectors._unit(rng.normal(size=(400, 24)))
+    b = vectors._unit(a + rng.normal(0, 0.08, a.shape))
+    codes = vectors.BinaryCodes(24)
+    turned, code, factor = codes.encode(a)
+    other = codes.encode(b)[0]
+    est = (vectors.BinaryCodes.signs(code, 24) * other).sum(1)
+    true = (a * b).sum(1)
+    assert code.shape == (400, 3) and np.allclose((vectors.BinaryCodes.signs(code, 24) * turned).sum(1), factor, atol=1e-5)
+    assert abs((est / factor - true).mean()) < 0.02
+    assert (est >= vectors.BinaryCodes.least(factor, 0.93))[true >= 0.93].all() and (true >= 0.93).sum() > 50
+
+
 # -- URLs
 
 
@@ -405,8 +481,41 @@ def test_reliabilities_find_the_good_labelers():
     _, chance, post = pii.reliabilities(Counter(votes))
     assert np.mean([(post[v] > 0.5) == t for v, t in zip(votes, truth)]) > 0.95
     assert chance[0][1][1] > chance[2][1][1]
-    w = pii.classifier(Counter(votes), post)
-    assert w[1] - w[2] > w[5] - w[6]
+
+
+def test_classifier_learns_from_features():
+    """Form and surroundings tell true spans; the weights follow the posteriors, not the votes."""
+    rng = np.random.default_rng(1)
+    sums = defaultdict(lambda: (0, 0.0))
+    for _ in range(3000):
+        f = tuple(int(rng.integers(0, n)) for n in pii.FEATURES)
+        n, p = sums[f]
+        sums[f] = (n + 1, p + (0.9 if f[5] == 3 or f[0] == 4 else 0.1))
+    w = pii.classifier(sums)
+    z = {f: w[0][0] + sum(part[i] for part, i in zip(w[1:], f)) for f in sums}
+    assert np.mean([(z[f] > 0) == (p / n > 0.5) for f, (n, p) in sums.items()]) > 0.9
+
+
+def test_pii_obfuscated(spark):
+    """Planted data beyond the base expressions is found next to clean look-alikes; recall is counted by document."""
+    plain = "the quick brown fox and the lazy dog went over the hill"
+    bad = [f"{plain} mail me: jo{i}.doe [at] mail{i} [dot] org thanks" for i in range(30)] + [f"{plain} call 0044 20 79{i} 0958{i} now" for i in range(10, 30)] + [f"{plain} phone (212) 555-01{i} soon" for i in range(10, 30)]
+    bad += [f"{plain} host 2001:4860:4860:0:0:0:0:88{i} up" for i in range(10, 20)]
+    good = [f"{plain} release 1{i}.2.3 and section 4.{i}" for i in range(60)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(bad + good)], "doc_id long, text string")
+    got = {r.doc_id: r.n_spans > 0 for r in pii.digest(pii.find_pii(df)).collect()}
+    assert np.mean([got[i] for i in range(len(bad))]) >= 0.95 and not any(got[i] for i in range(len(bad), len(got)))
+
+
+def test_pii_many_matches_and_overlaps(spark):
+    """A text of 100,000 matches takes seconds; candidates that overlap a base span never come beside it."""
+    text = "a1@b.cd 10.0.0.1 " * 50_000
+    began = time.time()
+    r = pii.digest(pii.find_pii(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
+    assert (r.n_email, r.n_ip) == (50_000, 50_000) and time.time() - began < 60
+    rows = pii.find_pii(spark.createDataFrame([(1, "4111 1111 1111 1111 x@y.z +1 (212) 555-0123 004111 1111 1111 11 212 555 0188 a (at) b.com 5.5.5.5")], "doc_id long, text string")).first().spans
+    for x in rows:
+        assert x.base or not any(y.base and y.s < x.e and x.s < y.e for y in rows)
 
 
 # -- all

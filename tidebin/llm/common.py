@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,12 +21,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see. The session names it in spark.checkpoint.dir; only where that is unset
+    """The folder all executors see. The session names it in spark.checkpoint.dir; only where that is unset and the master is local
     (tests, a single machine) is a temporary folder made and set."""
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors see")
     path = named or "file://" + tempfile.mkdtemp(prefix="tidebin-")
     spark.sparkContext.setCheckpointDir(path)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -29,19 +37,22 @@ def shared_dir(spark: SparkSession) -> str:
 class Written:
     """A table written to the shared folder: it cuts the lineage, survives lost executors and is read with column pruning."""
 
-    def __init__(self, df: DataFrame, name: str):
+    def __init__(self, df: DataFrame, name: str, *by: str):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/tables/{name}-{uuid.uuid4().hex}"
         self.schema = df.schema
-        df.write.option("compression", "zstd").parquet(self.path)
+        df.write.option("compression", "zstd").partitionBy(*by).parquet(self.path)
 
     def df(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self.path)
 
     def drop(self) -> None:
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
-        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        drop_path(self.spark, self.path)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -66,3 +77,33 @@ def training_labels(labels: DataFrame, which: str) -> DataFrame:
         .groupBy("doc_id")
         .agg(F.max("y").alias("y"))
     )
+
+
+def text_slices(batch: pa.RecordBatch, at: int, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of about `most` bytes of text in column `at`, of one row at least."""
+    size = np.cumsum(pc.coalesce(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < batch.num_rows:
+        stop = max(first + 1, int(np.searchsorted(size, (size[first - 1] if first else 0) + most, "right")))
+        yield batch.slice(first, stop - first)
+        first = stop
+
+
+MOST_BITMAPS = 4096  # of 4 KB each
+
+
+def maybe_in(rows: DataFrame, key: str, keys: DataFrame, their: str) -> DataFrame:
+    """rows with __maybe: false only where the (binary) key is certainly not among keys. It comes from a bitmap of one bit a hash, of sixteen
+    bits for each of the keys and 16 MB at most, which is broadcast: most rows that a join would shuffle in vain are found out without
+    a shuffle."""
+    size = 1
+    n = keys.count()
+    while size * 2048 < n and size < MOST_BITMAPS:
+        size *= 2
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(size * 32768))
+    bits = keys.select(place(their).alias("p")).groupBy(F.expr("cast(p div 32768 as int)").alias("__block")).agg(F.bitmap_construct_agg(F.expr("p % 32768")).alias("__bits"))
+    out = rows.withColumn("__p", place(key)).withColumn("__block", F.expr("cast(__p div 32768 as int)"))
+    out = out.join(F.broadcast(bits), "__block", "left")
+    octet = F.conv(F.hex(F.expr("substring(__bits, cast(__p % 32768 div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(octet, F.expr("cast(__p % 8 as int)")) == 1, F.lit(False))
+    return out.withColumn("__maybe", hit).drop("__p", "__block", "__bits")

@@ -1,4 +1,4 @@
-"""Near-duplicates by word shingles: an exact join of shingle sets whose Jaccard similarity is 0.8 or more."""
+"""SimHash near-duplicates by word shingles, decided by Jaccard similarity: the trie join's links, and all that it can't reach."""
 
 from __future__ import annotations
 
@@ -6,36 +6,64 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written, text_of, written
+from .common import Written, maybe_in, text_of, text_slices, written
 from .components import components
-from .simhash import keep_first, text_key
+from .simhash import keep_first, majority, near_links, text_key
 
 WORDS = 5
 NEAR, OF = 4, 5  # similarity of at least 4/5, in whole numbers
 SEED = 42
 SEEN = 500_000  # sets a worker remembers to have given the prefix of
-
-
-def shingle_set(text: str, words: int = WORDS) -> set[bytes]:
-    """Words are taken as simhash.fingerprint takes them; a text of fewer words is one shingle, a text of none has none."""
-    w = text.encode("utf-8", "surrogatepass").lower().split()
-    if len(w) < words:
-        return {b" ".join(w)} if w else set()
-    return set(map(b" ".join, zip(*(w[i:] for i in range(words)))))
-
-
-def near(a: set[bytes], b: set[bytes]) -> bool:
+CELLS = 16  # bits of a hash by which shingles are counted together
+
+
+def shingles(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the word shingles of each text, repeats included, one text after the other, and how many each text has. Words are
+    taken as simhash.fingerprint takes them, each hashed once; a shingle's hash is put together from those of its words. A text of
+    fewer words is one shingle, a text of none has none."""
+    parts = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+    coded = parts.flatten().dictionary_encode()
+    of = np.repeat(np.arange(len(texts)), parts.value_lengths().to_numpy(zero_copy_only=False))
+    word, at = pc.ascii_lower(coded.dictionary).to_pylist(), coded.indices.to_numpy()  # a slice's own bytes would be misread there
+    hashed = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in word), np.uint64, len(word))
+    if "" in word:  # white space at an end
+        held = at != word.index("")
+        at, of = at[held], of[held]
+    w, n = hashed[at], np.bincount(of, minlength=len(texts))
+    take = np.minimum(np.maximum(n, 1), words)  # words in each shingle of a text
+    count = np.where(n > 0, n - take + 1, 0)
+    start = np.cumsum(n) - n
+    first = np.arange(count.sum()) + np.repeat(start - (np.cumsum(count) - count), count)
+    size = np.repeat(take, count)
+    h = size.astype(np.uint64)
+    for j in range(words):
+        more = j < size
+        h = np.where(more, h * np.uint64(0x9E3779B97F4A7C15) + w[np.minimum(first + j, len(w) - 1)] if len(w) else h, h)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(29)), count
+
+
+def sets(texts: pa.Array) -> list[np.ndarray]:
+    """The set of shingle hashes of each text, ascending."""
+    h, count = shingles(texts)
+    return [np.unique(x) for x in np.split(h, np.cumsum(count)[:-1])] if len(texts) else []
+
+
+def near(a: np.ndarray, b: np.ndarray) -> bool:
     """Jaccard similarity of at least 4/5; two empty sets are equal."""
-    both = len(a & b)
+    both = len(np.intersect1d(a, b, assume_unique=True))
     return OF * both >= NEAR * (len(a) + len(b) - both)
 
 
 def prefix_length(n: int) -> int:
-    """Of two sets as similar as that, which both hold at least 4/5 of the larger one, the so many least hashes share one."""
+    """Of two sets as similar as that, which both hold at least 4/5 of the larger one, the so many first hashes share one, in whatever order
+    all sets are put."""
     return n - -(-NEAR * n // OF) + 1
 
 
@@ -49,35 +77,58 @@ def parity(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def prints(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, node, n, bits, prefix): node is a 64-bit hash of the whole shingle set and stands for all texts of that set; n is
-    the set's size. A worker gives bits and prefix with a set's first row only, and null with the others."""
+def levels(docs: DataFrame) -> np.ndarray:
+    """How common the shingles of each cell of hashes are: 0 for what chance makes of rare ones, then one more with each doubling of what is
+    beyond the mean. All shingles of all rows are counted; the driver sees one number a cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << CELLS, np.int64)
+        for whole in batches:
+            for b in text_slices(whole, 0):
+                n += np.bincount((shingles(b.column(0))[0] >> np.uint64(64 - CELLS)).astype(np.int64), minlength=len(n))
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], names=["cell", "n"])
+
+    found = docs.select(text_of().alias("text")).mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # 65,536 rows at most
+    n = np.zeros(1 << CELLS)
+    n[found["cell"].to_numpy()] = found["n"].to_numpy()
+    usual = n.mean() / 4 + 6 * np.sqrt(n.mean()) + 8
+    return np.ceil(np.log2(np.maximum((n - n.mean()) / usual, 1))).astype(np.uint8)
+
+
+def prints(docs: DataFrame, level: np.ndarray) -> DataFrame:
+    """(doc_id, key, node, n, fp, bits, prefix): node is a 64-bit hash of the whole shingle set and stands for all texts of that set; n is
+    the set's size, fp its SimHash fingerprint. prefix holds the first hashes by level, then by value: common shingles come last, so that few sets meet by them. A
+    worker gives bits and prefix with a set's first row only, and null with the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for b in batches:
-            node, size, bits, prefix = [], [], [], []
-            for t in b.column(1):
-                s = shingle_set(t.as_py())
-                h = np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in s), np.uint64, len(s))
-                h.sort()
-                v = np.int64(np.uint64(xxhash.xxh64_intdigest(h.tobytes(), SEED)).view(np.int64)) if s else np.int64(0)
-                node.append(v)
-                size.append(len(s))
-                first = v not in seen
-                if first:
-                    if len(seen) >= SEEN:
-                        seen.clear()
-                    seen.add(v)
-                bits.append(parity(h) if first else None)
-                prefix.append(h[: prefix_length(len(h))].view(np.int64) if first and s else None)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), pa.array(node, pa.int64()), pa.array(size, pa.int32()), pa.array(bits, pa.list_(pa.int64())), pa.array(prefix, pa.list_(pa.int64()))],
-                names=["doc_id", "key", "node", "n", "bits", "prefix"],
-            )
+        for whole in batches:
+            for b in text_slices(whole, 1):
+                node, size, fp, bits, prefix = [], [], [], [], []
+                for h in sets(b.column(1)):
+                    v = int(np.uint64(xxhash.xxh64_intdigest(h.tobytes(), SEED)).view(np.int64)) if len(h) else 0
+                    node.append(v)
+                    size.append(len(h))
+                    first = v not in seen
+                    if first:
+                        if len(seen) >= SEEN:
+                            seen.clear()
+                        seen.add(v)
+                    bits.append(parity(h) if first else None)
+                    fp.append(int(np.uint64(majority([h])).view(np.int64)) if first else None)
+                    lead = None
+                    if first and len(h):
+                        common = level[(h >> np.uint64(64 - CELLS)).astype(np.int64)]
+                        lead = (h[np.argsort(common, kind="stable")] if common.any() else h)[: prefix_length(len(h))].view(np.int64)
+                    prefix.append(lead)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), b.column(2), pa.array(node, pa.int64()), pa.array(size, pa.int32()), pa.array(fp, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(prefix, pa.list_(pa.int64()))],
+                    names=["doc_id", "key", "node", "n", "fp", "bits", "prefix"],
+                )
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), text_key().alias("key"))
-    return src.mapInArrow(run, "doc_id long, key binary, node long, n int, bits array<long>, prefix array<long>")
+    return src.mapInArrow(run, "doc_id long, key binary, node long, n int, fp long, bits array<long>, prefix array<long>")
 
 
 def _whole_tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -152,16 +203,17 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, text_a, text_b): the pairs whose shingle sets, byte for byte, are similar enough."""
-    last, held = None, set()
-    for b in batches:
-        yes = []
-        for i in range(b.num_rows):
-            key = b.column(0)[i].as_py()
-            if key != last:
-                last, held = key, shingle_set(b.column(2)[i].as_py())
-            yes.append(near(held, shingle_set(b.column(3)[i].as_py())))
-        yield b.select(["a", "b"]).filter(pa.array(yes, pa.bool_()))
+    """(a, b, text_a, text_b): the pairs whose shingle sets are similar enough."""
+    last, held = None, np.zeros(0, np.uint64)
+    for whole in batches:
+        for b in text_slices(whole, 3):
+            yes = []
+            for i, other in enumerate(sets(b.column(3))):
+                key = b.column(0)[i].as_py()
+                if key != last:
+                    last, held = key, sets(pa.array([b.column(2)[i].as_py()]))[0]
+                yes.append(near(held, other))
+            yield b.select(["a", "b"]).filter(pa.array(yes, pa.bool_()))
 
 
 def _links(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, seen: DataFrame) -> DataFrame:
@@ -173,8 +225,9 @@ def _links(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, seen: DataFrame)
     able = Written(pairs.join(sizes.withColumnRenamed("node", "a"), "a").join(other, "b").where(fit).select("a", "b"), "pairs")
     want = able.df().select(F.explode(F.array("a", "b")).alias("node")).distinct()
     rows = seen.join(want, "node").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("r"))
-    rows = rows.select("node", F.col("r.doc_id").alias("id"), F.col("r.key").alias("k"))
+    rows = written(rows.select("node", F.col("r.doc_id").alias("id"), F.col("r.key").alias("k")), "wanted")
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), text_key().alias("key"))
+    src = maybe_in(src, "key", rows, "k").where("__maybe")
     texts = src.join(rows, src.doc_id.eqNullSafe(rows.id) & (src.key == rows.k)).select("node", "text").dropDuplicates(["node"])
     texts = Written(texts, "texts")
     left, right = (texts.df().select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
@@ -188,18 +241,23 @@ def _links(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, seen: DataFrame)
 def near_groups(docs: DataFrame, part_rows: int = 4096) -> DataFrame:
     """(doc_id, key, grp), one row for each row of docs: rows hang together if a chain of pairs with Jaccard similarity of at least 0.8
     between their sets of five-word shingles leads from one to the other. No such pair is missed: both sets of a pair hold a hash in
-    common among the least fifth of their hashes, pairs are only dropped by bounds that hold for certain, and those left are compared
-    byte for byte. (Sets of one 64-bit hash count as equal without that.) Nulls and texts without words are one group.
-
-    Each node is first compared with the least and the largest node of each of its hashes, which gathers large groups of copies in
-    few comparisons; after that only nodes of different groups meet. A hash of many nodes is dealt into parts that meet by twos."""
-    seen = written(prints(docs), "sets")
-    nodes = written(seen.where("bits is not null").select("node", "n", "bits").dropDuplicates(["node"]), "nodes")
+    common among the first fifth of their hashes, pairs are only dropped by bounds that hold for certain, and those left are compared
+    in full, by 64-bit hashes. Nulls and texts without words are one group.
+
+    It starts from the SimHash operator: fingerprints of five-word shingles, whose tries are joined with themselves, propose links. SimHash
+    alone can't give this result, as most pairs of 0.8 to 0.95 differ in more bits than any trie can prune by. So each node is also
+    compared with the least and the largest node of each of its hashes, which gathers large groups of copies in few comparisons;
+    after that only nodes of different groups meet. A hash of many nodes is dealt into parts that meet by twos."""
+    seen = written(prints(docs, levels(docs)), "sets")
+    nodes = written(seen.where("bits is not null").select("node", "n", "fp", "bits").dropDuplicates(["node"]), "nodes")
     rows = seen.where("prefix is not null").select(F.explode("prefix").alias("hash"), "node")
     shared = written(rows.repartition("hash").sortWithinPartitions("hash", "node").mapInArrow(_shared, "hash long, node long, low long, high long"), "shared")
     stars = shared.select("node", F.explode(F.array("low", "high")).alias("hub")).where("node <> hub")
-    stars = stars.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    links = _links(stars, docs, nodes, seen)
+    stars = stars.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+    prints_ = nodes.groupBy("fp").agg(F.min("node").alias("rep"))
+    alike = nodes.join(prints_, "fp").where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    trie = near_links(prints_).unionByName(alike).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    links = _links(stars.unionByName(trie).distinct(), docs, nodes, seen)
     found = components(links)
     now = written(shared.select("hash", "node").join(found, "node", "left").select("hash", "node", F.coalesce("component", "node").alias("grp")), "now")
     split = now.groupBy("hash").agg(F.min("grp").alias("g"), F.max("grp").alias("h"), F.count("*").alias("m")).where("g <> h").select("hash", F.ceil(F.col("m") / part_rows).cast("int").alias("parts"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import islice, repeat
 
 import numpy as np
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import text_of, written
+from .common import maybe_in, text_of, written
 from .components import components
 
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))  # first bit and bits, from the most significant one
@@ -30,10 +30,15 @@ def fingerprint(text: str, words: int = 4, seed: int = 42) -> int:
     if len(w) < words:
         return xxhash.xxh64_intdigest(b" ".join(w), seed)
     shingles = map(b" ".join, zip(*(w[i:] for i in range(words))))
-    n, seen = len(w) - words + 1, np.zeros(2048, np.int64)
-    while part := list(map(xxhash.xxh64_intdigest, islice(shingles, 65536), repeat(seed))):  # a very long text is counted in pieces
-        octets = np.array(part, np.uint64).view(np.uint8).reshape(-1, 8) + _PLACE
-        seen += np.bincount(octets.ravel(), minlength=2048)
+    return majority(np.array(part, np.uint64) for part in iter(lambda: list(map(xxhash.xxh64_intdigest, islice(shingles, 65536), repeat(seed))), []))  # a very long text is counted in pieces
+
+
+def majority(parts: Iterable[np.ndarray]) -> int:
+    """The bits that are set in over half of all hashes of these arrays, the highest first; 0 if there are none."""
+    n, seen = 0, np.zeros(2048, np.int64)
+    for part in parts:
+        seen += np.bincount((part.view(np.uint8).reshape(-1, 8) + _PLACE).ravel(), minlength=2048)
+        n += len(part)
     total = seen.reshape(8, 256)[::-1] @ _BITS  # from the highest byte and bit
     return int.from_bytes(np.packbits(2 * total.ravel() > n).tobytes(), "big")
 
@@ -214,28 +219,25 @@ def keep_first(docs: DataFrame, rows: DataFrame) -> DataFrame:
     docs, with key as text_key() gives it.
 
     Of each group exactly one row stays: that of the smallest doc_id, a null one last, and of the least key among rows that share
-    it. Rows alike in doc_id and text are told apart by counting alone, and any one of them stays. docs is read twice and must
-    give the same rows both times."""
+    it. Rows alike in doc_id and text are told apart by counting alone, and any one of them stays. docs is read three times and must
+    give the same rows each time."""
     mine = rows.groupBy("grp", "doc_id", "key").agg(F.count("*").alias("n"))
     first = mine.groupBy("grp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first"), F.sum("n").alias("of")).where("of > 1")
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))
     marks = mine.join(first, "grp").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), stays.alias("__stays"), (F.col("n") > 1).alias("__many"))
     marks = written(marks.where("__many or not __stays"), "marks")
-    keyed = docs.withColumns({"__own": F.col("doc_id").cast("long"), "__text": text_key()})
+    keyed = maybe_in(docs.withColumns({"__own": F.col("doc_id").cast("long"), "__text": text_key()}), "__text", marks, "__key")
     same = F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__key"))
-    alone = keyed.join(marks.select("__id", "__key"), same, "left_anti")
-    many = keyed.join(marks.where("__stays").select("__id", "__key"), same, "left_semi")
+    able = keyed.where("__maybe")  # the others certainly stay, and are not shuffled
+    alone = able.join(marks.select("__id", "__key"), same, "left_anti")
+    many = able.join(marks.where("__stays").select("__id", "__key"), same, "left_semi")
     one = many.withColumn("__at", F.row_number().over(Window.partitionBy("__own", "__text").orderBy("__own"))).where("__at = 1")
-    return alone.select(*map(_named, docs.columns)).unionByName(one.select(*map(_named, docs.columns)))
+    out = None
+    for part in (keyed.where("not __maybe"), alone, one):
+        part = part.select(*map(_named, docs.columns))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def _named(c: str) -> Column:
     return F.col("`" + c.replace("`", "``") + "`")
-
-
-def keep_one(docs: DataFrame, words: int = 4, budget: int = 4) -> DataFrame:
-    """The rows of docs without those that a near-duplicate stands for: of each group of linked fingerprints exactly one row stays,
-    by the rules of keep_first. Rows that share a doc_id, or have none, are judged each by its own text."""
-    prints = written(fingerprints(docs, words, keyed=True), "prints")
-    found = components(near_links(prints.select("fp", F.col("fp").alias("rep")).distinct(), budget))
-    return keep_first(docs, prints.join(found, prints.fp == found.node, "left").select("doc_id", "key", F.coalesce("component", "fp").alias("grp")))
