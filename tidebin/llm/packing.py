@@ -9,6 +9,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import text_of, written
+from .common import text_of, text_slices, written
 
 BROADCAST_TASKS = 1_000_000  # so many tasks' places, some tens of MB, are broadcast; beyond that the join shuffles
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded long, ids binary"
@@ -29,7 +30,7 @@ _KNOWN = re.compile(f"[!-~{LETTERS[6:]}]+")
 _ODD = re.compile(f"[^!-~{LETTERS[6:]}]|<\\|")
 _LATIN = re.compile(f"\\n|'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\\n{LETTERS}0-9]+")
 _BYTES = bytes([*range(33, 127), *range(161, 173), *range(174, 256)])
-_AS_TEXT = {b: chr(b) if b in _BYTES else chr(256 + b - sum(x < b for x in _BYTES)) for b in range(256)}
+_AS_TEXT = {b: chr(b) if b in _BYTES else chr(256 + b - sum(x < b for x in _BYTES)) for b in range(256) if b != 10}  # a line end parts words
 #: What the tokenizer must do for words to be looked up one by one; any other one is given whole texts.
 _BY_WORD = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -84,37 +85,39 @@ class _Ids:
         self.place: dict[str, int] = {"\n": 0}  # no ids: what parts words here
         self.flat, self.ends, self.size = array("I"), array("q", [0, 0]), 0
 
-    def _learn(self, part: str) -> int:
-        if not _KNOWN.fullmatch(part) or "<|" in part:
-            ids = self.tokenizer.encode(part, add_special_tokens=False).ids
-        else:
-            ids = [t.id for t in self.model.tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(_AS_TEXT))]
-        self.flat.extend(ids)
-        self.ends.append(len(self.flat))
-        self.place[part] = at = len(self.place)
-        self.size += 230 + 2 * len(part) + 4 * len(ids)  # with what Python keeps for the key and its place
-        return at
+    def _learn(self, parts: list[str], ids: list[list[int]]) -> None:
+        self.place.update(zip(parts, range(len(self.place), len(self.place) + len(parts))))
+        size = list(map(len, ids))
+        self.ends.extend(np.cumsum(size) + len(self.flat))
+        self.flat.extend(chain.from_iterable(ids))
+        self.size += 230 * len(parts) + 2 * sum(map(len, parts)) + 4 * sum(size)  # with what Python keeps for a key and its place
 
     def _of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of these words one after the other, and how many each has."""
         if self.size > self.most:
             self._forget()
-        odd = [i for i, w in enumerate(words) if _ODD.search(w)]
-        plain = list(words)
-        for i in odd:
-            plain[i] = ""
-        pieces = pa.array([*_LATIN.findall("\n".join(plain).lower() + "\n"), *(words[i] for i in odd)], pa.large_string()).dictionary_encode()
         place = self.place
-        at = np.fromiter((place[p] if p in place else self._learn(p) for p in pieces.dictionary.to_pylist()), np.int64, len(pieces.dictionary))
-        at = at[pieces.indices.to_numpy()]
-        if odd:  # back to their words
-            last = np.flatnonzero(at == 0)[np.array(odd)]
-            at = np.insert(at[: len(at) - len(odd)], last, at[len(at) - len(odd) :])
-        ends = np.frombuffer(self.ends, np.int64)
+        odd = list(filter(_ODD.search, words))
+        if new := [w for w in odd if w not in place]:
+            self._learn(new, [self.tokenizer.encode(w, add_special_tokens=False).ids for w in new])
+        plain = words
+        if odd:
+            is_odd = set(odd)
+            plain = ["" if w in is_odd else w for w in words]
+        pieces = pa.array(_LATIN.findall("\n".join(plain).lower() + "\n"), pa.large_string()).dictionary_encode()
+        parts = pieces.dictionary.to_pylist()
+        if new := [p for p in parts if p not in place]:
+            tokenize = self.model.tokenize
+            self._learn(new, [[t.id for t in tokenize(x)] for x in "\n".join(new).encode().decode("latin-1").translate(_AS_TEXT).split("\n")])
+        at = np.fromiter(map(place.__getitem__, parts), np.int64, len(parts))[pieces.indices.to_numpy()]
+        if odd:  # each before the end of its word
+            last = np.flatnonzero(at == 0)[[i for i, w in enumerate(words) if w in is_odd]]
+            at = np.insert(at, last, [place[w] for w in odd])
+        ends = np.array(self.ends)
         first, n = ends[at], ends[at + 1] - ends[at]
         upto = np.cumsum(n)
-        flat = np.frombuffer(self.flat, np.uint32) if self.flat else np.zeros(0, np.uint32)
-        ids = flat[np.arange(upto[-1]) + np.repeat(first - upto + n, n)].astype(self.width)
+        flat = np.array(self.flat, self.width)
+        ids = flat[np.arange(upto[-1]) + np.repeat(first - upto + n, n)]
         return ids, np.diff(np.r_[0, upto[at == 0]])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -132,20 +135,10 @@ class _Ids:
         return ids[np.arange(upto[-1]) + np.repeat((np.cumsum(size) - size)[at] - upto + of, of)], np.diff(np.r_[0, upto[ends - 1]])
 
 
-def _some(batch: pa.RecordBatch, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """Slices of about `most` bytes of text, of one row at least."""
-    size = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64))
-    at = 0
-    while at < batch.num_rows:
-        stop = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")))
-        yield batch.slice(at, stop - at)
-        at = stop
-
-
 def _tokenized(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[pa.RecordBatch]:
     ids, part, at = _Ids(path), TaskContext.get().partitionId(), 0
     for whole in batches:
-        for b in _some(whole):
+        for b in text_slices(whole, 1):
             data, n = ids.encode(b.column(1))
             data = np.insert(data, np.cumsum(n), ids.width.type(end))  # each text's closing id
             n = n + 1
