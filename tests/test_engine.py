@@ -1,7 +1,8 @@
 import duckdb
 import pytest
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidebin import queries as Q
 from tidebin.functions.dialect import date_format, to_spark, trigger_aliases
@@ -21,12 +22,19 @@ def rows(df):
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
+    c.execute("SET TimeZone = 'UTC'")
     for t in ("events", "lineitem", "orders"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return c
 
 
-@pytest.mark.parametrize("name", ["cache_partial", "cache_vanished_bucket", "agg_avg", "agg_composite_ratio", "ts_2100", "post_order_expr", "filter_time_modulo", "range_reversed_between", "cube_or_filter", "bypass_rollup"])
+NEW = [
+    "group_a_b", "literal_like_dimension", "mixed_case", "gap_union_all", "gap_union", "gap_subquery", "gap_subquery_columns", "time_injection", "commands_refused", "rules_fire", "cache_after_append", "cache_after_late_rows",
+    "cache_corrupt_bucket", "cache_two_writers", "join_after_merge", "bounded_fetch", "votes_last", "popular_queries", "sketch_distinct", "sketch_median", "admin_size", "post_nulls_first", *Q.MYSQL,
+]
+
+
+@pytest.mark.parametrize("name", [*NEW, "cache_partial", "cache_vanished_bucket", "agg_avg", "agg_composite_ratio", "ts_2100", "post_order_expr", "filter_time_modulo", "range_reversed_between", "cube_or_filter", "bypass_rollup"])
 def test_equals_duckdb(spark, duck, name):
     got = rows(Q.queries()[name](spark, SF))
     assert got == sorted(tuple(map(str, r)) for r in duck.execute(Q.oracle_sql()[name]).fetchall())
@@ -73,6 +81,52 @@ def test_not_between_is_no_bound(spark):
         canonicalize(spark, "SELECT COUNT(*) FROM ev WHERE ts NOT BETWEEN 1 AND 5")
 
 
+NAMES = st.sampled_from(["a", "b", "ab", "a_b", "aa", "s", "x"])
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(NAMES, min_size=3, max_size=3, unique=True), st.sampled_from(["'{0}'", "'{1} {0}'", "'SUM({2})'", "'it''s {0}'"]), st.booleans())
+def test_cached_equals_direct_for_any_names(spark, names, literal, composite):
+    """Short names that are parts of each other, of functions and of literals: the cached answer is the direct one."""
+    from tidebin.operators.engine import Engine
+    from tidebin.sources.catalog import Catalog, Table
+
+    a, b, v = names
+    e = Engine(spark, Catalog([Table("named", f"{SF}/events.parquet", (("ts", "unix_seconds(cast(ts as timestamp))"), (a, "event_type"), (b, "user_id % 4"), (v, "value")), "ts", "ts")]))
+    text = literal.format(a, b, v)
+    item = f"SUM({v}) / COUNT({b}) + MAX({b})" if composite else f"MIN({v})"
+    sql = f"SELECT {a}, {b} AS {v}{b}, CASE WHEN {a} = {text} THEN {text} ELSE {a} END AS k, ROUND({item}, 6) AS r FROM named WHERE ts >= {Q._t(3)} AND ts < {Q._t(8, 50)} GROUP BY {a}, {b} HAVING MAX({a}) <> {text}"
+    e.warm(sql, [Q._t(4), Q._t(6)])
+    got = e.answer(sql)
+    assert got.stored == [Q._t(4), Q._t(6)] and rows(got.frame) == rows(spark.sql(sql))
+
+
+def test_verify_finds_a_difference(spark):
+    e = Q.engine(spark, SF)
+    sql = Q.SQL["agg_avg"][0]
+    e.warm(sql)
+    assert e.verify(sql)
+    family, root = e.read(sql)[2], e.store.path(e.store.tenant)
+    m = e.store.markers(family)[3]
+    wrong = spark.read.parquet(f"{root}/{family}/{m.attempt}").where(F.col("bucket_start") == m.start)
+    number = next(c for c in wrong.columns if c.startswith("s_"))
+    wrong = wrong.withColumn(number, F.col(number) + 1)
+    e.store.write(family, wrong, {m.start: m.stamp})
+    assert not e.verify(sql)
+    assert e.store.vacuum(family) == 0 and len(e.answer(sql).stored) == 18
+
+
+def test_known_is_bounded(spark, monkeypatch):
+    from tidebin.operators import engine as E
+
+    monkeypatch.setattr(E, "KNOWN", 3)
+    e = Q.engine(spark, SF)
+    for n in range(5):
+        e.read(sql := f"SELECT device, SUM(value + {n}) AS s FROM ev WHERE {Q.W18} GROUP BY device")
+        e._know(e.read(sql)[2], *e.read(sql)[:2])
+    assert len(e.known) == 3
+
+
 def test_null_and_text_null_stay_apart(spark, tmp_path):
     from tidebin.operators.engine import Engine
     from tidebin.sources.catalog import Catalog, Table
@@ -129,8 +183,6 @@ def test_settings():
 
 
 def test_sketch_bounds(spark):
-    from pyspark.sql import functions as F
-
     from tidebin.functions import sketches as K
 
     df = spark.range(200_000).groupBy((F.col("id") % 3).alias("g")).agg(K.distinct_sketch("id").alias("h"), K.quantile_sketch("cast(id as double)").alias("k"))

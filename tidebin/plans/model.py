@@ -13,6 +13,10 @@ class Unsupported(Exception):
     """The query cannot be proved safe to split; it runs on Spark as written."""
 
 
+class Refused(Exception):
+    """The text is no query, so it is not run at all."""
+
+
 @dataclass(frozen=True)
 class TimeRange:
     """Whole epoch seconds, both ends included."""
@@ -86,7 +90,8 @@ class Query:
     order: tuple[tuple[str, bool, bool], ...] = ()  # text, ascending, nulls first
     limit: int | None = None
     offset: int = 0
-    sql: str = field(default="", compare=False)
+    node: object = field(default=None, compare=False, repr=False)  # the parsed plan
+    text: str = field(default="", compare=False, repr=False)  # its SQL, where it came as such
 
     @property
     def grain(self) -> int | None:

@@ -15,7 +15,8 @@ class Limits:
     high_cardinality: frozenset[str] = frozenset()  # group-by columns not worth storing
     clustered: frozenset[str] = frozenset()  # filter columns by which the source prunes better than a store
     least_seconds: int = 0  # 0 or less: no floor
-    sketches: bool = False  # approx_count_distinct may be answered from stored sketches
+    sketches: bool = False  # approx_count_distinct and approximate medians may be answered from stored sketches
+    time_step: int | None = None  # a bare time column among the groups stands for buckets of so many seconds
 
 
 def high_cardinality(q: Query, c: Limits) -> bool:
