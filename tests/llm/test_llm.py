@@ -298,7 +298,47 @@ def test_toxicity_learns_rare_words():
     plain = [" ".join(f"w{x}" for x in rng.integers(0, 300, 30)) for _ in range(1200)]
     texts = [t + " vilething" * (i % 60 == 0) + " badword" * (i % 60 != 0) for i, t in enumerate(plain[:600])] + plain[600:]  # 10 of 600
     model = toxicity.SubwordModel(epochs=6).fit(texts, np.repeat([1, 0], 600), np.ones(1200, np.float32))
-    assert sum(model.subword_scores[i] for i in toxicity.subwords("vilething")) > 0
+    assert model.subword_scores[toxicity.subwords(["vilething"])[0]].sum() > 0
+
+
+def slow_score(text, table, bias):
+    """The definition, word by word and subword by subword."""
+    p, q, m = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 2**64
+
+    def bucket(h):
+        return ((h ^ h >> 32) * q % m) >> (64 - toxicity.BITS)
+
+    z = []
+    for w in text.lower().split():
+        w = f"<{w.strip(toxicity._EDGE) or w}>"
+        ids = [bucket(sum(ord(c) * pow(p, i + 1, m) for i, c in enumerate(w)) % m)]
+        for n in (3, 4, 5):
+            for i in range(len(w) - n + 1):
+                h = n
+                for c in w[i : i + n]:
+                    h = (h * p + ord(c)) % m
+                ids.append(bucket(h))
+        z.append(sum(float(table[i]) for i in ids) / len(ids))
+    z = bias + (sum(z) / len(z) if z else 0.0)
+    return 1 / (1 + np.exp(-z))
+
+
+def test_toxicity_scores_against_brute_force(spark):
+    """Scores of every document of sf0.001 by the plain definition, of odd texts too, and the held-out accuracy over sf0.1's held-out rows."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    model = toxicity.train(docs, labels)
+    odd = [(-1, None), (-2, ""), (-3, "  \n "), (-4, "Äß 𝒳 -- !!x!! ... é" * 50), (-5, "w" * 30_000)]
+    few = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame(odd, "doc_id long, text string"))
+    texts = {r.doc_id: r.text or "" for r in few.collect()}
+    got = {r.doc_id: r.score for r in toxicity.score_texts(few, model).collect()}
+    assert got.keys() == texts.keys()
+    for i, t in texts.items():
+        assert abs(got[i] - slow_score(t, model.subword_scores, model.bias)) < 1e-6, i
+    held = toxicity.score_texts(docs, model).join(labels, "doc_id").where(common.held_out(F.col("doc_id"))).collect()
+    right = {y: np.mean([(r.score >= 0.5) == y for r in held if r.toxic == y]) for y in (0, 1)}
+    assert len(held) > 300 and right[0] >= 0.99 and right[1] >= 0.9
+    assert toxicity.score_texts(few.limit(0), model).count() == 0
 
 
 def test_toxicity_without_labels(spark, odd):
@@ -527,3 +567,36 @@ def test_pipeline(spark):
     rows = got.collect()
     assert {r.doc_id for r in rows} <= docs and len({r.doc_id for r in rows}) > 0.7 * len(docs)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "simhash_near_dedup", "mixing", "packing"]
+
+
+def test_pipeline_stages_take_odd_rows(spark, odd):
+    """Each stage by itself on nulls, empty and long texts, repeated rows, a null id, clashing columns and an empty table."""
+    names = ["doc_id", "text", "lang", "source", "n_chars"]
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, odd, SF)
+        assert (got.columns == names) == (name != "packing")
+        ids = Counter(r.doc_id for r in got.collect())
+        if name in ("toxicity", "line_dedup"):
+            assert ids == Counter(r[0] for r in ODD)  # none of these is toxic, and no row goes with its lines
+        if name == "simhash_near_dedup":
+            assert ids[None] == ids[3] == ids[1] == 1 and ids[2] == 0 and ids[9] == 1
+        if name in ("mixing", "packing"):
+            assert ids.keys() == {r[0] for r in ODD}
+        assert stage(spark, odd.limit(0), SF).count() == 0
+
+
+def test_quality_and_fingerprints_of_an_empty_table(spark, odd):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    assert quality.quality_scores(odd.limit(0), labels).count() == 0 and simhash.simhash_groups(odd.limit(0)).count() == 0
+
+
+def test_simhash_query_against_all_pairs(spark, tmp_path):
+    """The whole query on planted texts: fingerprints by their definition, components over all pairs."""
+    rng = np.random.default_rng(3)
+    base = [[f"w{x}" for x in rng.integers(0, 900, n)] for n in (1, 3, 4, 30, 200, 900)]
+    texts = [" ".join(w) for w in base for _ in range(4)] + [" ".join([*w[: len(w) // 2], f"x{k}", *w[len(w) // 2 :]]) for w in base for k in range(12)] + [None, "", " "]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = {r.doc_id: (int(r.fingerprint, 16), r.component_id) for r in Q.op10_simhash_near_dedup(spark, f"file://{tmp_path}").collect()}
+    prints = [slow_print(t or "") for t in texts]
+    want = roots(len(texts), [(i, j) for j in range(len(texts)) for i in range(j) if (prints[i] ^ prints[j]).bit_count() <= 4])
+    assert got == {i: (prints[i], want[i]) for i in range(len(texts))}

@@ -2,62 +2,92 @@
 
 from __future__ import annotations
 
-import zlib
-from array import array
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import text_of, training_labels
+from .common import text_of, text_slices, training_labels
 
 BITS = 20
+SOME = 16_384  # words whose subwords are held at once
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
-def subwords(word: str) -> list[int]:
-    """Buckets of a word: itself and its runs of 3 to 5 characters, with marks for its ends."""
-    w = f"<{word.strip(_EDGE) or word}>"
-    mask, crc = (1 << BITS) - 1, zlib.crc32
-    out = [crc(b"=" + w.encode("utf-8", "surrogatepass")) & mask]
+_P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+
+def _bucket(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * _Q
+    return (h >> np.uint64(64 - BITS)).astype(np.int32)
+
+
+def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the words' subwords, and which word each belongs to: a word as such and its runs of 3 to 5 characters, with marks for
+    its ends, hashed all together."""
+    marked = [f"<{w.strip(_EDGE) or w}>" for w in words]
+    if not marked:
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+    size = np.fromiter(map(len, marked), np.int64, len(marked))
+    c = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    start, word = np.cumsum(size) - size, np.repeat(np.arange(len(words)), size)
+    at = np.arange(len(c)) - start[word]
+    power = np.cumprod(np.full(size.max(), _P))
+    ids, of = [_bucket(np.add.reduceat(c * power[at], start))], [np.arange(len(words))]
     for n in (3, 4, 5):
-        out += [crc(w[i : i + n].encode("utf-8", "surrogatepass")) & mask for i in range(len(w) - n + 1)]
-    return out
+        i = np.flatnonzero(at + n <= size[word])
+        h = np.full(len(i), n, np.uint64)
+        for j in range(n):
+            h = h * _P + c[i + j]
+        ids.append(_bucket(h))
+        of.append(word[i])
+    return np.concatenate(ids), np.concatenate(of)
+
+
+def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The words of these texts in lower case, each once; which of them stand in the texts, one text after the other; and how many words
+    each text has. Words are what Unicode white space parts."""
+    parts = pc.utf8_split_whitespace(texts.cast(pa.large_string()))
+    coded = parts.flatten().dictionary_encode()
+    words, at = [w.lower() for w in coded.dictionary.to_pylist()], coded.indices.to_numpy()
+    of = np.repeat(np.arange(len(texts)), parts.value_lengths().to_numpy(zero_copy_only=False))
+    if "" in words:  # white space at an end
+        held = at != words.index("")
+        at, of = at[held], of[held]
+    return words, at, np.bincount(of, minlength=len(texts))
 
 
 class SubwordModel:
     """mean over a text's words of (mean over the word's subwords of their vectors), then softmax of a linear map."""
 
-    def __init__(self, dims: int = 4, epochs: int = 12, rate: float = 0.5, batch: int = 32, decay: float = 0.0, scale: float = 50.0, deviations: float = 5.0, power: float = 8.0, seed: int = 7):
-        self.dims, self.epochs, self.rate, self.batch, self.decay, self.scale, self.deviations, self.power, self.seed = dims, epochs, rate, batch, decay, scale, deviations, power, seed
+    def __init__(self, dims: int = 4, epochs: int = 12, steps: int = 400, rate: float = 0.5, batch: int = 32, decay: float = 0.0, scale: float = 50.0, deviations: float = 5.0, power: float = 8.0, seed: int = 7):
+        self.dims, self.epochs, self.steps, self.rate, self.batch, self.decay, self.scale, self.deviations, self.power, self.seed = dims, epochs, steps, rate, batch, decay, scale, deviations, power, seed
 
     def fit(self, texts: list[str], labels: np.ndarray, weights: np.ndarray) -> SubwordModel:
         rng = np.random.default_rng(self.seed)
-        words: dict[str, int] = {}
-        of, share, ends = [], [], [0]
-        for t in texts:
-            c = Counter(t.lower().split())
-            total = sum(c.values())
-            of.append(np.fromiter((words.setdefault(w, len(words)) for w in c), np.int32, len(c)))
-            share.append(np.fromiter(c.values(), np.float32, len(c)) / max(total, 1))
-            ends.append(ends[-1] + len(c))
-        grams, sizes = [], np.zeros(len(words), np.int32)
-        for w, i in words.items():
-            g = np.array(subwords(w), np.int32)
-            sizes[i] = len(g)
-            grams.append(g)
-        del words
-        flat = np.concatenate(grams) if grams else np.zeros(0, np.int32)
-        del grams
+        words, held, long = words_of(pa.array(texts, pa.large_string()))
+        of, share, after = [], [], np.cumsum(long)
+        for stop, total in zip(after, long):
+            ws, cnt = np.unique(held[stop - total : stop], return_counts=True)
+            of.append(ws.astype(np.int32))
+            share.append((cnt / max(total, 1)).astype(np.float32))
+        grams, sizes = [], []
+        for k in range(0, len(words), SOME):  # some at a time, as the driver has little room
+            ids, owner = subwords(words[k : k + SOME])
+            grams.append(ids[np.argsort(owner, kind="stable")])
+            sizes.append(np.bincount(owner).astype(np.int32))
+        flat = np.concatenate([*grams, np.zeros(0, np.int32)])
+        sizes = np.concatenate([*sizes, np.zeros(0, np.int32)])
+        del words, held, grams
         at = np.r_[0, np.cumsum(sizes, dtype=np.int64)]
         d, n = self.dims, len(texts)
         # a subword counts by how far its share of documents differs between the classes: one that differs by chance alone is
         # shrunk to next to nothing and can't be learnt by heart, one that differs clearly keeps most of its weight
-        spread = np.zeros((2, 1 << BITS), np.float64)
+        spread = np.zeros((2, 1 << BITS), np.float32)
         for ws, v in zip(of, labels):
             cnt = sizes[ws]
             spread[v, np.unique(flat[np.arange(cnt.sum()) - np.repeat(np.cumsum(cnt) - cnt, cnt) + np.repeat(at[ws], cnt)])] += 1
@@ -68,9 +98,15 @@ class SubwordModel:
         shrunk = odds / (1 + odds)
         shrunk = np.where(shrunk < 1e-3, 0, shrunk).astype(np.float32)  # so little moves no score: spared in the sums
         del spread, odds
-        held = shrunk[flat] > 0
+        active = np.flatnonzero(shrunk)
+        place = np.full(1 << BITS, -1, np.int32)
+        place[active] = np.arange(len(active))
+        shrunk = shrunk[active]
+        flat = place[flat]
+        held = flat >= 0
         flat, true_sizes = flat[held], sizes
         at = np.r_[0, np.cumsum(held)][at]
+        del held, place
         sizes = np.diff(at).astype(np.int32)
         # each document once as a sparse row: subwords and their shares of it
         rows_of = []
@@ -81,12 +117,13 @@ class SubwordModel:
             c = np.bincount(inv, np.repeat(sh / np.maximum(true_sizes[ws], 1), cnt), len(hit))
             rows_of.append((hit, (self.scale * c * shrunk[hit]).astype(np.float32)))
         del of, share, flat
-        E = rng.normal(0, 0.1, (1 << BITS, d)).astype(np.float32)
+        E = rng.normal(0, 0.1, (len(active), d)).astype(np.float32)
         W, b = rng.normal(0, 0.5, (d, 2)).astype(np.float32), np.zeros(2, np.float32)
         gE, gW, gb = np.full_like(E, 1e-6), np.full_like(W, 1e-6), np.full_like(b, 1e-6)
         y = np.eye(2, dtype=np.float32)[labels]
-        for epoch in range(self.epochs):
-            rate = self.rate * (1 - epoch / self.epochs)
+        epochs = max(self.epochs, -(-self.steps * self.batch // max(n, 1)))  # few documents are gone through more often
+        for epoch in range(epochs):
+            rate = self.rate * (1 - epoch / epochs)
             order = rng.permutation(n)
             for k in range(0, n, self.batch):
                 rows = order[k : k + self.batch]
@@ -108,35 +145,20 @@ class SubwordModel:
                 E[hit] -= rate * dE / np.sqrt(gE[hit])
                 W -= 0.1 * rate * dW / np.sqrt(gW)
                 b -= 0.1 * rate * db / np.sqrt(gb)
-        z = self.scale * shrunk * (E @ (W[:, 1] - W[:, 0])).astype(np.float64)
-        self.subword_scores = z.astype(np.float32)  # by bucket; the softmax of two classes needs their difference alone
+        self.subword_scores = np.zeros(1 << BITS, np.float32)  # by bucket; the softmax of two classes needs their difference alone
+        self.subword_scores[active] = self.scale * shrunk * (E @ (W[:, 1] - W[:, 0]))
         self.bias = float(b[1] - b[0])
         return self
 
 
-class _Scores(dict):
-    """Score of each word, worked out once in a task; it starts afresh at about `most` bytes."""
-
-    def __init__(self, table: np.ndarray, most: int = 32_000_000):
-        self.table, self.most, self.size = array("f", table.tobytes()), most, 0
-
-    def __missing__(self, word: str) -> float:
-        g, table = subwords(word), self.table
-        s = sum([table[i] for i in g]) / len(g)
-        if len(word) < 200:
-            if self.size > self.most:
-                self.clear()
-                self.size = 0
-            self[word] = s
-            self.size += 180 + 2 * len(word)  # with what Python keeps for both and for their place
-        return s
-
-
-def _logistic(texts: pa.Array, of: _Scores, bias: float) -> np.ndarray:
-    z = np.empty(len(texts))
-    for i, t in enumerate(texts):
-        ws = (t.as_py() or "").lower().split()
-        z[i] = bias + (sum(map(of.__getitem__, ws)) / len(ws) if ws else 0.0)
+def logistic(texts: pa.Array, table: np.ndarray, bias: float) -> np.ndarray:
+    """The score of each text: the mean over its words of the mean over their subwords of what the table gives, put through a sigmoid."""
+    words, at, n = words_of(pc.fill_null(texts, ""))
+    each = np.zeros(len(words))
+    for k in range(0, len(words), SOME):
+        ids, of = subwords(words[k : k + SOME])
+        each[k : k + SOME] = np.bincount(of, table[ids]) / np.bincount(of)
+    z = bias + np.bincount(np.repeat(np.arange(len(n)), n), each[at], len(n)) / np.maximum(n, 1)
     return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
@@ -147,9 +169,9 @@ def score_texts(docs: DataFrame, model: SubwordModel) -> DataFrame:
     bias = model.bias
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = _Scores(sent.value)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_logistic(b.column(1), of, bias))], names=["doc_id", "score"])
+        for whole in batches:
+            for b in text_slices(whole, 1):
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(logistic(b.column(1), sent.value, bias))], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, "doc_id long, score double")
 
@@ -161,9 +183,9 @@ def below(docs: DataFrame, model: SubwordModel, least: float = 0.5) -> DataFrame
     bias, at = model.bias, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = _Scores(sent.value)
-        for b in batches:
-            yield b.filter(pa.array(_logistic(b.column(at), of, bias) < least))
+        for whole in batches:
+            for b in text_slices(whole, at):
+                yield b.filter(pa.array(logistic(b.column(at), sent.value, bias) < least))
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -195,4 +217,8 @@ def train(docs: DataFrame, labels: DataFrame, most_per_class: int = 3000, most_b
     labels_ = got["y"].to_numpy().astype(np.int64)
     here = np.maximum(np.bincount(labels_, minlength=2), 1)
     weights = np.array([shares[0] / here[0], shares[1] / here[1]])[labels_]
-    return model.fit(got["text"].to_pylist(), labels_, (weights / weights.mean()).astype(np.float32))
+    texts = got["text"].to_pylist()
+    del got
+    model.fit(texts, labels_, (weights / weights.mean()).astype(np.float32))
+    pa.default_memory_pool().release_unused()
+    return model
