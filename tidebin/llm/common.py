@@ -79,7 +79,7 @@ def training_labels(labels: DataFrame, which: str) -> DataFrame:
     )
 
 
-def text_slices(batch: pa.RecordBatch, at: int, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def text_slices(batch: pa.RecordBatch, at: int, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of about `most` bytes of text in column `at`, of one row at least."""
     size = np.cumsum(pc.coalesce(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     first = 0

@@ -87,7 +87,8 @@ def with_copies(docs: DataFrame, max_repetition: float | None = 2.0, target_entr
     Every row is held once at least, as the largest source is used exactly once; the others are repeated up to the limit. A null
     source is a source of its own; null and empty texts have no words; rows of one doc_id are taken together; sources without a
     single word are used once; an empty table gives an empty one."""
-    perm = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("|mix")).cast("binary"))
+    own = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null "), F.md5(text_of().cast("binary"))))  # rows without an id are dealt by their texts
+    perm = F.md5(F.concat(own, F.lit("|mix")).cast("binary"))
     keyed = docs.withColumns({"__key": _source_key(), "__perm": perm, "__tokens": word_count(text_of())})
     rows = keyed.select(F.col("__key").alias("key"), F.col("__perm").alias("perm"), F.col("__tokens").alias("tokens"))
     from .common import written
@@ -108,7 +109,7 @@ def mix(docs: DataFrame, max_repetition: float | None = 2.0, target_entropy: flo
 
 
 SQL = """
-WITH d AS (SELECT doc_id, source, coalesce('s:' || source, 'null') AS k, md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || '|mix') AS perm,
+WITH d AS (SELECT doc_id, source, coalesce('s:' || source, 'null') AS k, md5(coalesce(CAST(doc_id AS VARCHAR), 'null ' || md5(coalesce(text, ''))) || '|mix') AS perm,
              CAST(len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS BIGINT) AS tokens FROM documents),
 t AS (SELECT k, CAST(sum(tokens) AS BIGINT) AS tokens FROM d GROUP BY k),
 m AS (SELECT CAST(max(tokens) AS DOUBLE) AS top, CAST(min(tokens) FILTER (WHERE tokens > 0) AS DOUBLE) AS low FROM t),
