@@ -116,6 +116,19 @@ def test_verify_finds_a_difference(spark):
     assert e.store.vacuum(family) == 0 and len(e.answer(sql).stored) == 18
 
 
+def test_bypass_sees_new_files(spark, tmp_path):
+    from tidebin.operators.engine import Engine
+    from tidebin.sources.catalog import Catalog, Table
+
+    src = spark.createDataFrame([(Q.T0 + i, i) for i in range(10)], "ts long, v int")
+    src.write.parquet(f"file://{tmp_path}/t/a=1")
+    e = Engine(spark, Catalog([Table("grown", f"file://{tmp_path}/t", (("ts", "ts"), ("v", "v")))]))
+    sql = "SELECT COUNT(DISTINCT v) AS n FROM grown WHERE ts > 5"
+    assert not e.answer(sql).cached and e.answer(sql).frame.first().n == 10
+    src.withColumn("v", F.col("v") + 5).write.parquet(f"file://{tmp_path}/t/a=2")
+    assert e.answer(sql).frame.first().n == 15
+
+
 def test_known_is_bounded(spark, monkeypatch):
     from tidebin.operators import engine as E
 

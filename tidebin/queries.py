@@ -123,7 +123,7 @@ SQL: dict[str, tuple[str, list[int] | None]] = {
     "text_length_dimension": (f"SELECT LENGTH(props) AS len, {C} FROM ev WHERE {W18} GROUP BY LENGTH(props)", [0, 1, 2]),
     "group_a_b": (f"SELECT a, b, ROUND(SUM(v), 4) AS s, COUNT(*) AS n FROM sh WHERE {W18} GROUP BY a, b", [0, 1, 2]),
     "literal_like_dimension": (f"SELECT CASE WHEN event_type = 'view event_type' THEN 'event_types' ELSE 'other event_type' END AS k, COUNT(*) AS n FROM ev WHERE {W18} GROUP BY event_type HAVING MAX(event_type) <> 'MAX(event_type)'", [0, 1, 2]),
-    "mixed_case": (f"SELECT Event_Type AS k, SUM(Device) AS d, sum(device) + COUNT(*) AS e FROM EV WHERE {W18} GROUP BY event_type HAVING sum(DEVICE) > 3", [0, 1, 2]),
+    "mixed_case": (f"SELECT Event_Type AS k, CAST(SUM(Device) AS BIGINT) AS d, CAST(sum(device) + COUNT(*) AS BIGINT) AS e FROM EV WHERE {W18} GROUP BY event_type HAVING sum(DEVICE) > 3", [0, 1, 2]),
     "post_nulls_first": (f"SELECT user_id, MAX(CASE WHEN value > 300 THEN value END) AS m FROM ev WHERE {W18} GROUP BY user_id ORDER BY m NULLS FIRST, user_id LIMIT 12", [0, 1, 2]),
     "post_nulls_last": (f"SELECT user_id, MAX(CASE WHEN value > 300 THEN value END) AS m FROM ev WHERE {W18} GROUP BY user_id ORDER BY m DESC NULLS LAST, user_id LIMIT 12", [0, 1, 2]),
 }

@@ -117,6 +117,9 @@ class Catalog:
             raise KeyError(f"no table {name}")
         return t
 
+    def tables(self) -> list[Table]:
+        return list(self._tables.values())
+
     def register(self, spark: SparkSession) -> None:
         for t in self._tables.values():
             t.frame(spark).createOrReplaceTempView(t.name)
