@@ -111,7 +111,7 @@ def page_edges(pages: DataFrame) -> DataFrame:
 
 
 def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) -> DataFrame:
-    """page_id, host, path, rule, verdict, component for each row of pages (page_id, url, html).
+    """page_id, host, path, rule, verdict for each row of pages (page_id, url, html).
 
     A rule's own verdict always stands: an explicit allow wins over any block that aliases carry. A page that no rule fits is
     blocked if a URL that it is equivalent to (over canonical links, refresh redirects and the rows (from_url, to_url) of
