@@ -152,7 +152,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, batches
     an empty one. The work on a document is in proportion to its length, also if many of its lines go."""
     own, version = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), F.xxhash64(text_of())
     seen = occurrences(docs.select(own.alias("id"), version.alias("version"), text_of().alias("text")), min_chars)
-    seen = Written(seen.withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(batches)).cast("int")), "lines", "batch")
+    seen = Written(seen.withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(batches)).cast("int")), "lines")
     runs = LineRuns(docs.sparkSession, fanout)
     for b in range(batches):
         runs.add(seen.df().where(F.col("batch") == b).select("id", "h1", "h2"))
