@@ -116,6 +116,20 @@ def test_verify_finds_a_difference(spark):
     assert e.store.vacuum(family) == 0 and len(e.answer(sql).stored) == 18
 
 
+def test_fetch_gets_over_damaged_files(spark):
+    """Files of the right length that hold no Parquet: an answer that is fetched is computed again."""
+    from tidebin.sources import files
+
+    e = Q.engine(spark, SF)
+    sql = Q.SQL["agg_avg"][0]
+    e.warm(sql)
+    for f in files.matching(spark, e.store.path(e.store.tenant, e.read(sql)[2], "*", "*.parquet")):
+        files.write_text(spark, f.path, "x" * f.length)
+    assert len(e.answer(sql).stored) == 18
+    want = sorted(tuple(map(str, r)) for r in spark.sql(sql).collect())
+    assert sorted(tuple(map(str, r)) for r in e.fetch(sql)) == want and not e.answer(sql).stored
+
+
 def test_bypass_sees_new_files(spark, tmp_path):
     from tidebin.operators.engine import Engine
     from tidebin.sources.catalog import Catalog, Table

@@ -241,8 +241,18 @@ class Engine:
         return out.select(*[F.col(f"__o{i}").alias(f.name) for i, f in enumerate(direct)])
 
     def fetch(self, sql: str, most: int = 1_000_000) -> list:
-        """Rows for a client; more than `most` is an error, found without reading them all."""
-        rows = list(self.answer(sql).frame.limit(most + 1).toLocalIterator())
+        """Rows for a client; more than `most` is an error, found without reading them all. Where stored files turn out to be damaged, what they
+        held is forgotten and computed again."""
+
+        def read() -> list:
+            return list(self.answer(sql).frame.limit(most + 1).toLocalIterator())
+
+        try:
+            rows = read()
+        except Exception:
+            if not sum(self.store.forget_damaged(f) for f in self.known):
+                raise
+            rows = read()
         if len(rows) > most:
             raise ValueError(f"the result has more than {most} rows")
         return rows

@@ -134,6 +134,21 @@ class Store:
             if m.start in starts:
                 self._delete(self.path(self.tenant, family, "_whole", m.name))
 
+    def forget_damaged(self, family: str) -> int:
+        """Reads every column of all that is marked, and drops the markers of what can't be read; returns how many buckets went."""
+        held: dict[str, list[int]] = defaultdict(list)
+        for m in self.markers(family):
+            if m.rows:
+                held[m.attempt].append(m.start)
+        gone = 0
+        for attempt, starts in held.items():
+            try:
+                self.spark.read.parquet(self.path(self.tenant, family, attempt)).write.format("noop").mode("overwrite").save()
+            except Exception:
+                self.drop_buckets(family, starts)
+                gone += len(starts)
+        return gone
+
     def vacuum(self, family: str) -> int:
         """Deletes the folders of attempts that no marker names, once no reader and no writer is at work; returns how many went."""
         named = {m.attempt for m in self.markers(family)}
