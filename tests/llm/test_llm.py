@@ -221,6 +221,20 @@ def test_line_dedup_rows_of_one_id(spark, monkeypatch):
 # -- packing
 
 
+def test_packing_by_another_tokenizer(spark):
+    """A tokenizer that doesn't go by words gets whole texts, and gives its own ids."""
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["Two words, it's  spaced\n\tout", "", None, "é 中 <|endoftext|> x" * 30]
+    tok = Tokenizer.from_file(other)
+    assert not packing.by_word(tok) and packing.by_word(Tokenizer.from_file(TOK))
+    parts = defaultdict(list)
+    for r in packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), other, size=32).collect():
+        parts[r.doc_id].append(r)
+    for i, t in enumerate(texts):
+        ids = b"".join(r.ids for r in sorted(parts[i], key=lambda r: r.start))
+        assert np.frombuffer(ids, "<u4").tolist() == tok.encode(t or "", add_special_tokens=False).ids + [2]
+
+
 def test_packing_round_trip(spark, odd):
     texts = [(i, t) for i, t in enumerate([r[1] for r in ODD] + ["it's <|endoftext|> They'LL, don't!! a''b ,x", "İstanbul ΣΑΣ é ́x", "a b\x1cc", "x" * 300, "foo's' bar.,.! 12,5%"])]
     docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
@@ -248,6 +262,12 @@ def test_mixing_equals_sql(spark):
     assert sorted(map(tuple, Q.op6_mixing(spark, SF).collect())) == sorted(c.execute(mixing.SQL).fetchall())
 
 
+def test_mixing_plan_that_is_not_broadcast(spark, odd, monkeypatch):
+    want = sorted(map(str, mixing.with_copies(odd).select("doc_id", "__copies").collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert sorted(map(str, mixing.with_copies(odd).select("doc_id", "__copies").collect())) == want
+
+
 def test_mixing_targets(spark, odd):
     sizes = [(k, n) for k, n in (("a", 1000), ("b", 100), ("c", 10))]
     totals = spark.createDataFrame(sizes, "key string, tokens long")
