@@ -64,7 +64,7 @@ def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
 class SubwordModel:
     """mean over a text's words of (mean over the word's subwords of their vectors), then softmax of a linear map."""
 
-    def __init__(self, dims: int = 4, epochs: int = 12, steps: int = 400, rate: float = 0.5, batch: int = 32, decay: float = 0.0, scale: float = 50.0, deviations: float = 5.0, power: float = 8.0, seed: int = 7):
+    def __init__(self, dims: int = 4, epochs: int = 12, steps: int = 200, rate: float = 0.5, batch: int = 32, decay: float = 0.0, scale: float = 50.0, deviations: float = 5.0, power: float = 8.0, seed: int = 7):
         self.dims, self.epochs, self.steps, self.rate, self.batch, self.decay, self.scale, self.deviations, self.power, self.seed = dims, epochs, steps, rate, batch, decay, scale, deviations, power, seed
 
     def fit(self, texts: list[str], labels: np.ndarray, weights: np.ndarray) -> SubwordModel:
