@@ -59,7 +59,7 @@ class LineRuns:
     doc_ids. A lost executor costs a reread only."""
 
     def __init__(self, spark: SparkSession, fanout: int = 4):
-        self.fanout, self.levels, self.batches = fanout, [[]], []
+        self.fanout, self.levels, self.batches, self.sums = fanout, [[]], [], None
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def runs(self) -> list[SortedRun]:
@@ -106,7 +106,8 @@ class LineRuns:
         for batch in self.batches:
             more = batch.df() if more is None else more.unionByName(batch.df())
         if more is not None:
-            more = SortedRun(more.groupBy("h1", "h2").agg(F.sum("n").alias("m"), F.max("keeper").alias("k")), self.buckets).df()
+            self.sums = SortedRun(more.groupBy("h1", "h2").agg(F.sum("n").alias("m"), F.max("keeper").alias("k")), self.buckets)
+            more = self.sums.df()
         out = None
         for run in self.runs():
             rows = run.df()
@@ -118,7 +119,8 @@ class LineRuns:
         return out
 
     def drop(self) -> None:
-        for run in [*self.runs(), *self.batches]:
+        """Deletes all runs; what has been asked of them must have been written by then."""
+        for run in [*self.runs(), *self.batches, *([self.sums] if self.sums else [])]:
             run.drop()
 
 
@@ -157,6 +159,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, batches
     for b in range(batches):
         runs.add(seen.df().where(F.col("batch") == b).select("id", "h1", "h2"))
     frequent = written(runs.frequent(min_docs), "frequent")
+    runs.drop()
     drops = (
         _with_frequent(seen.df(), frequent.select("h1", "h2", "keeper")).where("id <> keeper")
         .groupBy(F.col("id").alias("__id"), F.col("version").alias("__version")).agg(F.collect_set("pos").alias("__drops"))
