@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -89,6 +91,14 @@ def text_slices(batch: pa.RecordBatch, at: int, most: int = 2_000_000) -> Iterat
         first = stop
 
 
+def give_back() -> None:
+    """Returns memory that is free in this process to the system, where its C library can: a driver has little beside its JVM."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 MOST_BITMAPS = 4096  # of 4 KB each
 
 

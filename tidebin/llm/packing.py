@@ -149,12 +149,13 @@ def _tokenized(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterat
             at += int(last[-1]) if len(n) else 0
 
 
-def _cut(batches: Iterator[pa.RecordBatch], width: int, size: int, keep: bool) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], size: int, keep: bool) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows: list[tuple] = []
-        docs, firsts, totals = (b.column(i).to_pylist() for i in range(3))
+        docs, firsts, totals, counts = (b.column(i).to_pylist() for i in range(4))
         for k in range(b.num_rows):
-            ids = memoryview(np.frombuffer(b.column(3)[k].as_buffer(), f"<u{width}").astype("<u4").tobytes())
+            held = b.column(4)[k].as_buffer()
+            ids = memoryview(np.frombuffer(held, f"<u{held.size // counts[k]}").astype("<u4").tobytes())  # two or four bytes an id
             n, at, total = len(ids) // 4, firsts[k], totals[k]
             start = 0
             while start < n:
@@ -184,7 +185,6 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 4096, end: int = 2, w
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     places = totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"), F.sum("total").over(Window.partitionBy()).alias("all"))
     places = written(places, "places")  # one row a task of the first pass: 24 bytes each
-    width = 2 if _tokenizer(tokenizer_path)[0].get_vocab_size() <= 65536 else 4
     small = places.count() <= BROADCAST_TASKS
-    placed = ids.join(F.broadcast(places) if small else places, "part").select("doc_id", (F.col("base") + F.col("first")).alias("at"), "all", "ids")
-    return placed.mapInArrow(lambda b: _cut(b, width, size, with_ids), PIECES)
+    placed = ids.join(F.broadcast(places) if small else places, "part").select("doc_id", (F.col("base") + F.col("first")).alias("at"), "all", "n", "ids")
+    return placed.mapInArrow(lambda b: _cut(b, size, with_ids), PIECES)

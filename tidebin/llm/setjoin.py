@@ -231,7 +231,8 @@ def _links(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, seen: DataFrame)
     texts = src.join(rows, src.doc_id.eqNullSafe(rows.id) & (src.key == rows.k)).select("node", "text").dropDuplicates(["node"])
     texts = Written(texts, "texts")
     left, right = (texts.df().select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
-    both = able.df().join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").sortWithinPartitions("a")
+    # hubs (a) come last: by then rows are as long as their texts, so that a hub of many pairs shows as a skewed partition and is split
+    both = able.df().join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").sortWithinPartitions("a")
     out = Written(both.mapInArrow(_confirmed, "a long, b long"), "links")
     texts.drop()
     able.drop()

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import text_of, text_slices, training_labels
+from .common import give_back, text_of, text_slices, training_labels
 
 BITS = 20
 SOME = 16_384  # words whose subwords are held at once
@@ -220,5 +220,6 @@ def train(docs: DataFrame, labels: DataFrame, most_per_class: int = 3000, most_b
     texts = got["text"].to_pylist()
     del got
     model.fit(texts, labels_, (weights / weights.mean()).astype(np.float32))
-    pa.default_memory_pool().release_unused()
+    del texts
+    give_back()
     return model
