@@ -109,15 +109,18 @@ class _Ids:
         if new := [p for p in parts if p not in place]:
             tokenize = self.model.tokenize
             self._learn(new, [[t.id for t in tokenize(x)] for x in "\n".join(new).encode().decode("latin-1").translate(_AS_TEXT).split("\n")])
-        at = np.fromiter(map(place.__getitem__, parts), np.int64, len(parts))[pieces.indices.to_numpy()]
+        at = np.fromiter(map(place.__getitem__, parts), np.int32, len(parts))[pieces.indices.to_numpy()]
         if odd:  # each before the end of its word
             last = np.flatnonzero(at == 0)[[i for i, w in enumerate(words) if w in is_odd]]
             at = np.insert(at, last, [place[w] for w in odd])
-        ends = np.array(self.ends)
-        first, n = ends[at], ends[at + 1] - ends[at]
-        upto = np.cumsum(n)
+        ends = np.array(self.ends, np.int32)  # neither a cache nor a slice comes near 2^31 ids
+        first = ends[at]
+        n = ends[at + 1] - first
+        upto = np.cumsum(n, dtype=np.int32)
         flat = np.array(self.flat, self.width)
-        ids = flat[np.arange(upto[-1]) + np.repeat(first - upto + n, n)]
+        place_of = np.arange(upto[-1], dtype=np.int32)
+        place_of += np.repeat(first - upto + n, n)
+        ids = flat[place_of]
         return ids, np.diff(np.r_[0, upto[at == 0]])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -131,14 +134,16 @@ class _Ids:
         at = coded.indices.to_numpy()
         ids, size = self._of_words(coded.dictionary.to_pylist())
         of = size[at]
-        upto = np.cumsum(of)
-        return ids[np.arange(upto[-1]) + np.repeat((np.cumsum(size) - size)[at] - upto + of, of)], np.diff(np.r_[0, upto[ends - 1]])
+        upto = np.cumsum(of, dtype=np.int32)
+        place_of = np.arange(upto[-1], dtype=np.int32)
+        place_of += np.repeat((np.cumsum(size, dtype=np.int32) - size)[at] - upto + of, of)
+        return ids[place_of], np.diff(np.r_[0, upto[ends - 1].astype(np.int64)])
 
 
 def _tokenized(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[pa.RecordBatch]:
     ids, part, at = _Ids(path), TaskContext.get().partitionId(), 0
     for whole in batches:
-        for b in text_slices(whole, 1):
+        for b in text_slices(whole, 1, 4_000_000):  # larger ones repeat fewer words
             data, n = ids.encode(b.column(1))
             data = np.insert(data, np.cumsum(n), ids.width.type(end))  # each text's closing id
             n = n + 1
