@@ -19,7 +19,10 @@ WORDS = 5
 NEAR, OF = 4, 5  # similarity of at least 4/5, in whole numbers
 SEED = 42
 SEEN = 500_000  # sets a worker remembers to have given the prefix of
-CELLS = 16  # bits of a hash by which shingles are counted together
+CELLS = 22  # bits of a hash by which shingles are counted together
+CHUNK = 1 << 16  # cells that are summed up in one place
+FEW = 64  # rows of a task all of whose pairs are spelt out, together with those of other such tasks
+PAIRS = 200_000  # pairs that are held at once
 
 
 def shingles(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -78,28 +81,41 @@ def parity(hashes: np.ndarray) -> np.ndarray:
 
 
 def levels(docs: DataFrame) -> np.ndarray:
-    """How common the shingles of each cell of hashes are: 0 for what chance makes of rare ones, then one more with each doubling of what is
-    beyond the mean. All shingles of all rows are counted; the driver sees one number a cell."""
+    """How common the shingles of each cell of hashes are: four steps to each doubling of a cell's count. All shingles of all rows are
+    counted; the driver sees one byte a cell. A set's first hashes come from its cells of the lowest counts: a shingle that stands out
+    from what chance makes of a cell's rare ones (about twice the root of the mean, of the mean beside it) is seldom among them, so the
+    rows that meet by a hash stay few while the table grows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(1 << CELLS, np.int64)
+        n = np.zeros(1 << CELLS, np.uint32)
         for whole in batches:
             for b in text_slices(whole, 0):
-                n += np.bincount((shingles(b.column(0))[0] >> np.uint64(64 - CELLS)).astype(np.int64), minlength=len(n))
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], names=["cell", "n"])
-
-    found = docs.select(text_of().alias("text")).mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # 65,536 rows at most
-    n = np.zeros(1 << CELLS)
-    n[found["cell"].to_numpy()] = found["n"].to_numpy()
-    usual = n.mean() / 4 + 6 * np.sqrt(n.mean()) + 8
-    return np.ceil(np.log2(np.maximum((n - n.mean()) / usual, 1))).astype(np.uint8)
+                np.add.at(n, (shingles(b.column(0))[0] >> np.uint64(64 - CELLS)).astype(np.int32), np.uint32(1))
+        for k in range(0, len(n), CHUNK):
+            if (part := n[k : k + CHUNK]).any():
+                yield pa.RecordBatch.from_arrays([pa.array([k // CHUNK], pa.int32()), pa.array([np.minimum(part, 255).astype(np.uint8).tobytes()])], names=["chunk", "n"])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, part in zip(b.column(0).to_pylist(), b.column(1)):
+                total[k] = total.get(k, 0) + np.frombuffer(part.as_buffer(), np.uint8).astype(np.int64)
+        for k, n in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([(4 * np.log2(1 + n)).astype(np.uint8).tobytes()])], names=["chunk", "n"])
+
+    counted = docs.select(text_of().alias("text")).mapInArrow(run, "chunk int, n binary")  # a task's counts beyond 255 are common enough
+    found = counted.repartition("chunk").mapInArrow(summed, "chunk int, n binary").toArrow()  # 64 rows of 64 KB at most
+    level = np.zeros(1 << CELLS, np.uint8)
+    for k, part in zip(found["chunk"].to_pylist(), found["n"]):
+        level[k * CHUNK : (k + 1) * CHUNK] = np.frombuffer(part.as_buffer(), np.uint8)
+    return level
 
 
 def prints(docs: DataFrame, level: np.ndarray) -> DataFrame:
     """(doc_id, key, node, n, fp, bits, prefix): node is a 64-bit hash of the whole shingle set and stands for all texts of that set; n is
     the set's size, fp its SimHash fingerprint. prefix holds the first hashes by level, then by value: common shingles come last, so that few sets meet by them. A
     worker gives bits and prefix with a set's first row only, and null with the others."""
+    sent = docs.sparkSession.sparkContext.broadcast(level)  # 4 MB, however large the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -119,8 +135,8 @@ def prints(docs: DataFrame, level: np.ndarray) -> DataFrame:
                     fp.append(int(np.uint64(majority([h])).view(np.int64)) if first else None)
                     lead = None
                     if first and len(h):
-                        common = level[(h >> np.uint64(64 - CELLS)).astype(np.int64)]
-                        lead = (h[np.argsort(common, kind="stable")] if common.any() else h)[: prefix_length(len(h))].view(np.int64)
+                        common = sent.value[(h >> np.uint64(64 - CELLS)).astype(np.int32)]
+                        lead = h[np.argsort(common, kind="stable")][: prefix_length(len(h))].view(np.int64)
                     prefix.append(lead)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0), b.column(2), pa.array(node, pa.int64()), pa.array(size, pa.int32()), pa.array(fp, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(prefix, pa.list_(pa.int64()))],
@@ -164,14 +180,47 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[many], v[many], low, high)], names=["hash", "node", "low", "high"])
 
 
+def _spelt(first: np.ndarray, stop: np.ndarray, node: np.ndarray, grp: np.ndarray, n: np.ndarray, flat: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """What _across looks for, among all pairs of each row of `first` with the rows after it up to `stop`: some pairs at a time."""
+    upto = np.cumsum(stop - first - 1)
+    k = 0
+    while k < len(first):
+        base = upto[k - 1] if k else 0
+        last = max(k + 1, int(np.searchsorted(upto, base + PAIRS, "right")))
+        cnt = (stop - first - 1)[k:last]
+        i = np.repeat(first[k:last], cnt)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(cnt) - cnt, cnt)
+        k = last
+        fit = (grp[i] != grp[j]) & (OF * np.minimum(n[i], n[j]) >= NEAR * np.maximum(n[i], n[j]))
+        i, j = i[fit], j[fit]
+        swap = n[i] > n[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        width, wide = at[i + 1] - at[i], at[j + 1] - at[j]
+        for w in np.unique(width):
+            for m in (1, 2):  # a partner at most 5/4 as large has as many bits or twice as many
+                a, b = (x[(width == w) & (wide == m * w)] for x in (i, j))
+                if len(a):
+                    theirs = flat[at[b][:, None] + np.arange(m * w)]
+                    if m == 2:
+                        theirs = theirs[:, :w] ^ theirs[:, w:]
+                    apart = np.bitwise_count(theirs ^ flat[at[a][:, None] + np.arange(w)]).sum(1, dtype=np.int64)
+                    fit = (OF + NEAR) * apart <= (OF - NEAR) * (n[a].astype(np.int64) + n[b])
+                    yield node[a[fit]], node[b[fit]]
+
+
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(task, node, grp, n, bits) ascending by task: pairs of one task and different groups whose sizes and bits allow the similarity."""
     for t in _whole_tasks(batches):
         task, node, grp, n = (t.column(i).to_numpy() for i in range(4))
         lists = t.column(4).combine_chunks()
-        flat, at = lists.flatten().to_numpy(), np.r_[0, np.cumsum(lists.value_lengths().to_numpy())]
+        flat, at = lists.flatten().to_numpy().view(np.uint64), np.r_[0, np.cumsum(lists.value_lengths().to_numpy())]  # of signed ones numpy counts the bits of the absolute value
         start = np.flatnonzero(np.r_[True, task[1:] != task[:-1]])
-        for s, e in zip(start, np.r_[start[1:], len(task)]):
+        end = np.r_[start[1:], len(task)]
+        cnt = end - start
+        few = np.flatnonzero(np.repeat(cnt <= FEW, cnt))
+        for x, y in _spelt(few, np.repeat(end, cnt)[few], node, grp, n, flat, at):
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+        for s, e in zip(start[cnt > FEW], end[cnt > FEW]):
             if (grp[s:e] == grp[s]).all():
                 continue
             rows = s + np.argsort(n[s:e], kind="stable")
