@@ -114,6 +114,17 @@ def test_keep_one_decides_on_rows(spark):
     assert kept((3, x), (3, x), (None, z), (None, z), (None, z)) == [(3, x), (None, z)]
 
 
+def test_driver_gives_memory_back(spark, monkeypatch):
+    """Every written table lets the driver's JVM return what it has freed; the stages that work longest also let it collect garbage."""
+    assert common.trim_jvm(spark)
+    collected, trimmed = [], []
+    monkeypatch.setattr(common, "trim_jvm", lambda s, f=common.trim_jvm: trimmed.append(f(s)))
+    monkeypatch.setattr(setjoin, "give_back", lambda s, f=common.give_back: collected.append(f(s)))
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, None)], "doc_id long, text string")
+    assert {r.doc_id for r in setjoin.keep_one(docs).collect()} == {1, 3}
+    assert len(collected) >= 4 and len(trimmed) > len(collected)
+
+
 def test_set_join_meets_by_rare_shingles(spark):
     """A shingle in a tenth of all texts, too few to stand out among 65,536 cells, leads no set's first hashes while it has rarer ones."""
     texts = [f"the same five words here {' '.join(f'w{i}x{j}' for j in range(60))}" if i % 10 == 0 else " ".join(f"w{i}x{j}" for j in range(66)) for i in range(300)]

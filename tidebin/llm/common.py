@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +45,7 @@ class Written:
         self.path = f"{shared_dir(self.spark)}/tables/{name}-{uuid.uuid4().hex}"
         self.schema = df.schema
         df.write.option("compression", "zstd").parquet(self.path)
+        trim_jvm(self.spark)
 
     def df(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self.path)
@@ -91,12 +93,32 @@ def text_slices(batch: pa.RecordBatch, at: int, most: int = 2_000_000) -> Iterat
         first = stop
 
 
-def give_back() -> None:
-    """Returns memory that is free in this process to the system, where its C library can: a driver has little beside its JVM."""
+def give_back(spark: SparkSession | None = None) -> None:
+    """Returns memory that is free in this process to the system, where its C library can: a driver has little beside its JVM. With a
+    session, the driver's JVM does so too: it collects its garbage, by which Spark also learns what shuffles and broadcasts may go."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
         trim(0)
+    if spark is not None:
+        spark.sparkContext._jvm.System.gc()
+        trim_jvm(spark)
+
+
+def trim_jvm(spark: SparkSession) -> bool:
+    """Returns what the driver's JVM has freed outside its heap (compilers and codecs leave it in the C library's arenas, tens of MB a few
+    queries). It takes some milliseconds. False where the JVM has no such command."""
+    jvm, made = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    named = jvm.java.lang.Class.forName
+    kinds, args = made(jvm.java.lang.Class, 4), made(jvm.java.lang.Object, 4)
+    for k, name in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+        kinds[k] = named(name)
+    try:
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        named("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+    except Py4JJavaError:
+        return False
+    return True
 
 
 MOST_BITMAPS = 4096  # of 4 KB each

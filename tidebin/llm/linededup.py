@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Written, drop_path, shared_dir, text_of, written
+from .common import Written, drop_path, give_back, shared_dir, text_of, written
 
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -158,6 +158,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, batches
     runs = LineRuns(docs.sparkSession, fanout)
     for b in range(batches):
         runs.add(seen.df().where(F.col("batch") == b).select("id", "h1", "h2"))
+        give_back(docs.sparkSession)
     frequent = written(runs.frequent(min_docs), "frequent")
     runs.drop()
     drops = (

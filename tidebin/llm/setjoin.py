@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written, maybe_in, text_of, text_slices, written
+from .common import Written, give_back, maybe_in, text_of, text_slices, written
 from .components import components
 from .simhash import keep_first, majority, near_links, text_key
 
@@ -285,6 +285,7 @@ def _links(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, seen: DataFrame)
     out = Written(both.mapInArrow(_confirmed, "a long, b long"), "links")
     texts.drop()
     able.drop()
+    give_back(docs.sparkSession)
     return out.df()
 
 
@@ -302,6 +303,7 @@ def near_groups(docs: DataFrame, part_rows: int = 4096) -> DataFrame:
     nodes = written(seen.where("bits is not null").select("node", "n", "fp", "bits").dropDuplicates(["node"]), "nodes")
     rows = seen.where("prefix is not null").select(F.explode("prefix").alias("hash"), "node")
     shared = written(rows.repartition("hash").sortWithinPartitions("hash", "node").mapInArrow(_shared, "hash long, node long, low long, high long"), "shared")
+    give_back(docs.sparkSession)
     stars = shared.select("node", F.explode(F.array("low", "high")).alias("hub")).where("node <> hub")
     stars = stars.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
     prints_ = nodes.groupBy("fp").agg(F.min("node").alias("rep"))
@@ -310,12 +312,14 @@ def near_groups(docs: DataFrame, part_rows: int = 4096) -> DataFrame:
     links = _links(stars.unionByName(trie).distinct(), docs, nodes, seen)
     found = components(links)
     now = written(shared.select("hash", "node").join(found, "node", "left").select("hash", "node", F.coalesce("component", "node").alias("grp")), "now")
+    give_back(docs.sparkSession)
     split = now.groupBy("hash").agg(F.min("grp").alias("g"), F.max("grp").alias("h"), F.count("*").alias("m")).where("g <> h").select("hash", F.ceil(F.col("m") / part_rows).cast("int").alias("parts"))
     dealt = now.join(split, "hash").join(nodes, "node").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     others = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: j != F.col("part")))
     tasks = dealt.withColumn("other", F.explode(others)).select(F.xxhash64("hash", F.least("part", "other"), F.greatest("part", "other")).alias("task"), "node", "grp", "n", "bits")
     pairs = tasks.repartition("task").sortWithinPartitions("task").mapInArrow(_across, "a long, b long").distinct()
     found = components(links.unionByName(_links(pairs, docs, nodes, seen)))
+    give_back(docs.sparkSession)
     return seen.select("doc_id", "key", "node").join(found, "node", "left").select("doc_id", "key", F.coalesce("component", "node").alias("grp"))
 
 

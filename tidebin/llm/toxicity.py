@@ -83,6 +83,7 @@ class SubwordModel:
         flat = np.concatenate([*grams, np.zeros(0, np.int32)])
         sizes = np.concatenate([*sizes, np.zeros(0, np.int32)])
         del words, held, grams
+        give_back()
         at = np.r_[0, np.cumsum(sizes, dtype=np.int64)]
         d, n = self.dims, len(texts)
         # a subword counts by how far its share of documents differs between the classes: one that differs by chance alone is
@@ -105,7 +106,7 @@ class SubwordModel:
         flat = place[flat]
         held = flat >= 0
         flat, true_sizes = flat[held], sizes
-        at = np.r_[0, np.cumsum(held)][at]
+        at = np.r_[0, np.cumsum(held, dtype=np.int32)][at]
         del held, place
         sizes = np.diff(at).astype(np.int32)
         # each document once as a sparse row: subwords and their shares of it
@@ -115,8 +116,9 @@ class SubwordModel:
             idx = flat[np.arange(cnt.sum()) - np.repeat(np.cumsum(cnt) - cnt, cnt) + np.repeat(at[ws], cnt)]
             hit, inv = np.unique(idx, return_inverse=True)
             c = np.bincount(inv, np.repeat(sh / np.maximum(true_sizes[ws], 1), cnt), len(hit))
-            rows_of.append((hit, (self.scale * c * shrunk[hit]).astype(np.float32)))
+            rows_of.append((hit.astype(np.int32), (self.scale * c * shrunk[hit]).astype(np.float32)))
         del of, share, flat
+        give_back()
         E = rng.normal(0, 0.1, (len(active), d)).astype(np.float32)
         W, b = rng.normal(0, 0.5, (d, 2)).astype(np.float32), np.zeros(2, np.float32)
         gE, gW, gb = np.full_like(E, 1e-6), np.full_like(W, 1e-6), np.full_like(b, 1e-6)
@@ -219,7 +221,8 @@ def train(docs: DataFrame, labels: DataFrame, most_per_class: int = 3000, most_b
     weights = np.array([shares[0] / here[0], shares[1] / here[1]])[labels_]
     texts = got["text"].to_pylist()
     del got
+    give_back(docs.sparkSession)
     model.fit(texts, labels_, (weights / weights.mean()).astype(np.float32))
     del texts
-    give_back()
+    give_back(docs.sparkSession)
     return model
