@@ -1,3 +1,5 @@
+import shutil
+
 import duckdb
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -217,6 +219,20 @@ def test_sketch_bounds(spark):
     assert abs(n - 200_000) <= 4_000 and abs(m - 100_000) <= 6_000
 
 
+def test_sketch_distinct_over_many_users(spark, tmp_path):
+    """Each type has 20,000 users of its own, seen on a stored day and on one of the gap: no count may be off by more than 2 %."""
+    c = duckdb.connect()
+    c.execute("SET TimeZone = 'UTC'")
+    types = "(VALUES (0, 'click'), (1, 'error'), (2, 'purchase'), (3, 'signup'), (4, 'view')) t(k, event_type)"
+    seen = f"SELECT make_timestamp(({Q._t(3)} + d * {DAY} + u % 9 * {DAY}) * 1000000) AS ts, k * 1000000 + u AS user_id, event_type FROM range(20000) r(u), (VALUES (0), (9)) s(d), {types}"
+    c.execute(f"COPY (SELECT row_number() OVER () AS event_id, ts, user_id, event_type, 1.0::DOUBLE AS value, '{{}}' AS props FROM ({seen})) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    for t in ("lineitem", "orders"):
+        shutil.copy(f"{SF}/{t}.parquet", tmp_path)
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    got = rows(Q.queries()["sketch_distinct"](spark, f"file://{tmp_path}"))
+    assert got == sorted(tuple(map(str, r)) for r in c.execute(Q.oracle_sql()["sketch_distinct"]).fetchall())
+
+
 def test_stream_stores_closed_buckets(spark, tmp_path):
     from tidebin.streaming.buckets import store_stream
 

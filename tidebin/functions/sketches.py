@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..plans.model import LG_K
 
-def distinct_sketch(c: str, lg_k: int = 12) -> Column:
+
+def distinct_sketch(c: str, lg_k: int = LG_K) -> Column:
     return F.hll_sketch_agg(c, lg_k)
 
 

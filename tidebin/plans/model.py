@@ -7,6 +7,7 @@ import json
 from dataclasses import dataclass, field
 
 DAY, STEP = 86_400, 300
+LG_K = 16  # of HLL sketches, 2^16 registers: merged counts have a standard error of 0.4 %, a fifth of the 2 % that they are held to
 
 
 class Unsupported(Exception):
@@ -45,7 +46,7 @@ class Measure:
             "count": {f"c_{key}": (f"count({self.arg})", "sum")},
             "min": {f"n_{key}": (f"min({self.arg})", "min")},
             "max": {f"x_{key}": (f"max({self.arg})", "max")},
-            "hll": {f"h_{key}": (f"hll_sketch_agg({self.arg}, 12)", "hll_union_agg")},
+            "hll": {f"h_{key}": (f"hll_sketch_agg({self.arg}, {LG_K})", "hll_union_agg")},
             "kll": {f"k_{key}": (f"kll_sketch_agg_double(cast({self.arg} as double))", "kll_merge_agg_double")},
         }
         if self.fn == "avg":

